@@ -1,18 +1,225 @@
 """Clues as likelihood ratios over leaf cells, kept sparse.
 
 A rule gives most leaves the same ratio (its default). ``rule_leaf`` holds only the leaves where the ratio differs,
-so an observation never has to be spread over every leaf.
+so an observation is never spread over every leaf: what all leaves share cancels when the posterior is normalised.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import col
+from ..functions.geo import col, haversine_km
+from .spatial import reach_join
+
+NON_LOCATION = ("person", "face")
+REACH_SIGMAS = 9.0  # beyond nine spreads a bump is below one part in 1e15 of any rule's default
 
 
 def obs_loglik(score, ratio) -> Column:
     """ln((1 - s) + s·r) with s clipped to [0, 1]; a zero argument is floored instead of giving NULL."""
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(score)))
     return F.log(F.greatest((F.lit(1.0) - s) + s * col(ratio), F.lit(1e-300)))
+
+
+def by_photo(df: DataFrame) -> DataFrame:
+    """Bring a photo's rows together once. The partition count is given outright, because the rows fan out later and
+    adaptive coalescing would size partitions by the small rows seen here."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "photo_id")
+
+
+def people_main(detections: DataFrame, min_area: float = 0.08) -> DataFrame:
+    """(photo_id, people_main): a person or face covers a meaningful part of the frame."""
+    from ..functions.boxes import box_area
+
+    hit = F.col("cue").isin(*NON_LOCATION) & (F.col("score") >= 0.5) & (F.round(box_area("x0", "y0", "x1", "y1"), 9) >= min_area)
+    return detections.groupBy("photo_id").agg(F.bool_or(hit).alias("people_main"))
+
+
+def usable_detections(detections: DataFrame, rules: DataFrame) -> DataFrame:
+    """Detections of known location cues (semi join to the fixed rule table)."""
+    known = rules.select(F.col("rule").alias("cue")).distinct()
+    return detections.filter(~F.col("cue").isin(*NON_LOCATION)).join(F.broadcast(known), "cue", "left_semi")
+
+
+def best_detection(detections: DataFrame) -> DataFrame:
+    """Strongest detection per photo and cue (first one on equal scores), combined before the shuffle."""
+    pick = F.min(F.struct((-F.col("score")).alias("s"), "det_id", "score", "x0", "y0", "x1", "y1"))
+    return (
+        detections.groupBy("photo_id", "cue").agg(pick.alias("b"))
+        .select("photo_id", "cue", "b.det_id", "b.score", "b.x0", "b.y0", "b.x1", "b.y1")
+    )
+
+
+# ---- rules ------------------------------------------------------------------------------------
+
+
+def expand_drives_on(rules: DataFrame, countries: DataFrame) -> DataFrame:
+    """Fill a ``drives_on`` rule with every country of that side, overriding what it listed itself."""
+    side = countries.groupBy("drives_on").agg(F.collect_list("iso2").alias("sides"))
+    j = rules.join(F.broadcast(side), "drives_on", "left")
+    listed = F.coalesce("countries", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    sides = F.coalesce("sides", F.array().cast("array<string>"))
+    kept = F.map_filter(listed, lambda k, _: ~F.array_contains(sides, k))
+    by_side = F.map_from_arrays(sides, F.transform(sides, lambda _: F.col("lr")))
+    return j.withColumn("countries", F.map_concat(kept, by_side)).drop("sides")
+
+
+def touched_leaves(rules: DataFrame, cells: DataFrame) -> DataFrame:
+    """(rule, leaf) pairs where a rule can differ from its default: listed countries, regions in reach, lat bands."""
+    by_country = rules.select("rule", F.explode(F.map_keys("countries")).alias("iso2")).join(
+        F.broadcast(cells.select("iso2", "leaf")), "iso2"
+    )
+    max_scale = cells.agg(F.max("scale_km")).scalar()
+    regions = rules.select("rule", F.explode("regions").alias("g")).select("rule", "g.*", max_scale.alias("max_scale"))
+    sites = cells.select("leaf", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"))
+    reach = F.lit(REACH_SIGMAS) * F.sqrt(F.col("sigma_km") * F.col("sigma_km") + F.col("max_scale") * F.col("max_scale"))
+    by_region = reach_join(regions, sites, reach)
+    band = rules.filter("lat_band is not null").select("rule", "lat_band.*")
+    lo, hi = F.floor("min").cast("int"), F.floor("max").cast("int")
+    steps = F.sequence(lo, hi)
+    steps = F.when(F.col("abs"), F.array_distinct(F.concat(steps, F.transform(steps, lambda x: -x - 1), F.transform(steps, lambda x: -x)))).otherwise(steps)
+    by_band = band.select("*", F.explode(steps).alias("band")).join(
+        cells.select("leaf", "lat", F.floor("lat").cast("int").alias("band")), "band"
+    )
+    y = F.when(F.col("abs"), F.abs("lat")).otherwise(F.col("lat"))
+    by_band = by_band.filter(y.between(F.col("min"), F.col("max")))
+    return (
+        by_country.select("rule", "leaf").union(by_region.select("rule", "leaf")).union(by_band.select("rule", "leaf")).distinct()
+    )
+
+
+def country_ratio(countries, iso2, other) -> Column:
+    m = col(countries)
+    return F.when(F.size(m) > 0, F.coalesce(F.try_element_at(m, col(iso2)), col(other))).otherwise(F.lit(1.0))
+
+
+def region_ratio(regions, lat, lon, scale_km, other) -> Column:
+    """other + Σ peak·exp(-½(d/√(σ²+scale²))²), 1 without regions."""
+    def bump(g: Column) -> Column:
+        d = haversine_km(g["lat"], g["lon"], lat, lon)
+        spread2 = g["sigma_km"] * g["sigma_km"] + col(scale_km) * col(scale_km)
+        return g["peak"] * F.exp(F.lit(-0.5) * d * d / spread2)
+
+    g = F.coalesce(col(regions), F.array().cast("array<struct<lat:double,lon:double,sigma_km:double,peak:double>>"))
+    total = F.aggregate(F.transform(g, bump), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(g) > 0, col(other) + total).otherwise(F.lit(1.0))
+
+
+def band_ratio(band, lat, other) -> Column:
+    b = col(band)
+    y = F.when(F.coalesce(b["abs"], F.lit(False)), F.abs(col(lat))).otherwise(col(lat))
+    return F.when(b.isNull(), F.lit(1.0)).when(y.between(b["min"], b["max"]), b["lr"]).otherwise(col(other))
+
+
+def default_ratio(rules_other="other") -> Column:
+    """Ratio of an untouched leaf: one factor ``other`` per kind of condition the rule has."""
+    kinds = (
+        F.when(F.size(F.coalesce(F.map_keys("countries"), F.array().cast("array<string>"))) > 0, 1).otherwise(0)
+        + F.when(F.coalesce(F.size("regions"), F.lit(0)) > 0, 1).otherwise(0)
+        + F.when(F.col("lat_band").isNotNull(), 1).otherwise(0)
+    )
+    return F.pow(col(rules_other), kinds.cast("double"))
+
+
+def rule_leaf(rules: DataFrame, cells: DataFrame) -> DataFrame:
+    """(rule, leaf, ratio, default) for touched leaves only. Size: fixed rules × the leaves each singles out."""
+    keep = ["rule", "countries", "regions", "lat_band", "other"]
+    t = touched_leaves(rules, cells).join(F.broadcast(rules.select(*keep, default_ratio().alias("default"))), "rule")
+    t = t.join(F.broadcast(cells.select("leaf", "iso2", "lat", "lon", "scale_km")), "leaf")
+    ratio = (
+        country_ratio("countries", "iso2", "other")
+        * region_ratio("regions", "lat", "lon", "scale_km", "other")
+        * band_ratio("lat_band", "lat", "other")
+    )
+    return t.select("rule", "leaf", ratio.alias("ratio"), "default").filter("ratio <> default")
+
+
+RULE_SCHEMA = (
+    "rule string, label string, countries map<string,double>, "
+    "regions array<struct<lat:double,lon:double,sigma_km:double,peak:double>>, "
+    "drives_on string, lr double, lat_band struct<min:double,max:double,abs:boolean,lr:double>, other double"
+)
+
+
+def sparse_evidence(obs: DataFrame, leafs: DataFrame, broadcast: bool = True) -> DataFrame:
+    """Observations (photo_id, rule, score, weight) → (photo_id, leaf, delta): log-likelihood minus the default's.
+
+    Summed per photo and leaf. When ``obs`` is already partitioned by photo and the rule table is broadcast, nothing
+    is shuffled here.
+    """
+    j = obs.join(F.broadcast(leafs) if broadcast else leafs, "rule")
+    d = F.col("weight") * (obs_loglik("score", "ratio") - obs_loglik("score", "default"))
+    return j.groupBy("photo_id", "leaf").agg(F.sum(d).alias("delta"))
+
+
+# ---- observations → dense pieces asked for by name ---------------------------------------------
+
+
+def observation_loglik(obs: DataFrame, leafs: DataFrame) -> DataFrame:
+    """(photo_id, rule, leaf, loglik, default_loglik) on touched leaves."""
+    return obs.join(F.broadcast(leafs), "rule").select(
+        "photo_id",
+        "rule",
+        "leaf",
+        obs_loglik("score", "ratio").alias("loglik"),
+        obs_loglik("score", "default").alias("default_loglik"),
+    )
+
+
+# ---- model answers ------------------------------------------------------------------------------
+
+
+def answer_evidence(candidates: DataFrame, cells: DataFrame) -> DataFrame:
+    """Mixture likelihood of a model's candidate places per leaf, sparse.
+
+    ``candidates``: photo_id, rank, country_code, lat, lon, probability, radius_km with probability > 0.01. Returns
+    (photo_id, leaf, loglik) for leaves some candidate singles out, and (photo_id, -1, loglik) for all other leaves.
+    """
+    cand = candidates.withColumn("cc", F.upper(F.trim("country_code")))
+    has_cc, has_xy = F.length("cc") == 2, F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    far = F.when(has_xy, 0.05).otherwise(1.0) * F.when(has_cc, 0.3).otherwise(1.0)
+    cand = cand.withColumn("far", far)
+    base = cand.groupBy("photo_id").agg(
+        (F.lit(1.0) - F.least(F.lit(1.0), F.sum("probability"))).alias("rest"),
+        F.sum(F.col("probability") * F.col("far")).alias("far_sum"),
+    )
+    sites = cells.select(
+        "leaf", "scale_km", F.col("iso2").alias("site_iso2"), F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon")
+    )
+    reach = F.lit(REACH_SIGMAS) * F.sqrt(F.col("radius_km") ** 2 + F.col("max_scale") ** 2)
+    max_scale = cells.agg(F.max("scale_km")).scalar()
+    near = reach_join(cand.filter(has_xy).withColumn("max_scale", max_scale), sites, reach)
+    sigma2 = F.col("radius_km") ** 2 + F.col("scale_km") ** 2
+    near = near.filter(F.col("distance_km") <= F.lit(REACH_SIGMAS) * F.sqrt(sigma2))
+    home = cand.filter(has_cc).join(F.broadcast(sites), F.col("cc") == F.col("site_iso2"))
+    home = home.withColumn("distance_km", haversine_km("lat", "lon", "site_lat", "site_lon"))
+    cols = ["photo_id", "rank", "leaf", "probability", "far", "cc", "site_iso2", "distance_km", "radius_km", "scale_km"]
+    pairs = near.select(*cols).unionByName(
+        home.select(*cols).filter(
+            F.col("distance_km").isNull() | (F.col("distance_km") > F.lit(REACH_SIGMAS) * F.sqrt(sigma2))
+        )
+    )
+    r = F.when(
+        F.col("distance_km").isNotNull(), 0.05 + 40.0 * F.exp(-0.5 * F.col("distance_km") ** 2 / sigma2)
+    ).otherwise(1.0)
+    r = r * F.when(has_cc, F.when(F.col("site_iso2") == F.col("cc"), 6.0).otherwise(0.3)).otherwise(1.0)
+    extra = pairs.groupBy("photo_id", "leaf").agg(F.sum(F.col("probability") * (r - F.col("far"))).alias("extra"))
+    rows = extra.unionByName(
+        base.select("photo_id", F.lit(-1).cast("long").alias("leaf"), F.lit(0.0).alias("extra"))
+    )
+    return rows.join(base, "photo_id").select(
+        "photo_id", "leaf", F.log(F.greatest(F.col("rest") + F.col("far_sum") + F.col("extra"), F.lit(1e-300))).alias("loglik")
+    )
+
+
+def text_not_seen(vlm_obs: DataFrame, ocr_obs: DataFrame, weight: float = 0.7) -> DataFrame:
+    """Model-read text rules the OCR did not already hit, at a lower weight."""
+    seen = ocr_obs.select("photo_id", "rule").distinct()
+    return vlm_obs.join(seen, ["photo_id", "rule"], "left_anti").withColumn("weight", F.lit(weight))
+
+
+def rank_within(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from .spatial import nearest, nearest_index
+from .spatial import auto_tile_deg, nearest, nearest_index
 
 TOWN_BIAS_KM = 2.0
 
@@ -47,10 +47,14 @@ def reverse_geocode(
     countries: DataFrame,
     lat: str = "lat",
     lon: str = "lon",
-    tile_deg: float = 1.0,
+    tile_deg: float | None = None,
     index: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds place_id, name, admin1, iso2, country, continent, distance_km and display_name of the best town."""
+    """Adds place_id, name, admin1, iso2, country, continent, distance_km and display_name of the best town.
+
+    Pass ``index`` (with the ``tile_deg`` it was built for) to reuse a stored tile index.
+    """
+    tile_deg = tile_deg or auto_tile_deg(places.count())
     ix = town_index(places, tile_deg) if index is None else index
     hit = nearest(photos, ix, lat, lon, tile_deg=tile_deg, id_name="place_id")
     attrs = places.select(
@@ -64,14 +68,16 @@ def reverse_geocode(
     )
 
 
-def nearest_leaf(points: DataFrame, cells: DataFrame, lat="lat", lon="lon", tile_deg: float = 1.0) -> DataFrame:
+def nearest_leaf(points: DataFrame, cells: DataFrame, lat="lat", lon="lon", tile_deg: float | None = None) -> DataFrame:
     """Adds the containing leaf: smallest distance relative to the cell's own size."""
+    tile_deg = tile_deg or auto_tile_deg(cells.count())
     return nearest(
         points, cell_index(cells, tile_deg), lat, lon, scaled=True, tile_deg=tile_deg, id_name="leaf", distance_name="leaf_km"
     )
 
 
-def nearest_town(points: DataFrame, places: DataFrame, lat="lat", lon="lon", tile_deg: float = 1.0) -> DataFrame:
+def nearest_town(points: DataFrame, places: DataFrame, lat="lat", lon="lon", tile_deg: float | None = None) -> DataFrame:
+    tile_deg = tile_deg or auto_tile_deg(places.count())
     return nearest(
         points, town_index(places, tile_deg, biased=False), lat, lon, tile_deg=tile_deg, id_name="place_id", distance_name="town_km"
     )

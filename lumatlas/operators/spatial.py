@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_KM, KM_PER_DEG, col, haversine_km
+from ..functions.geo import EARTH_RADIUS_KM, col, haversine_km, unit_vector
 
 ROOT_DEG = 30.0
 BROADCAST_BYTES = 64 << 20
@@ -95,7 +95,14 @@ def nearest_index(
         )
         deg /= k
         cur = _tile_bounds(cur, deg, scaled)
-    return cur.groupBy("ti", "tj").agg(F.collect_list(F.struct("id", "lat", "lon", "handicap")).alias("sites"))
+    u = unit_vector("lat", "lon")
+    site = F.struct("id", u["x"].alias("x"), u["y"].alias("y"), u["z"].alias("z"), "handicap")
+    return cur.groupBy("ti", "tj").agg(F.collect_list(site).alias("sites"))
+
+
+def auto_tile_deg(sites: int) -> float:
+    """Tile size that keeps a tile's candidate list short for a gazetteer of this many sites."""
+    return 5.0 if sites <= 200 else 1.0 if sites <= 20_000 else 0.25
 
 
 def nearest(
@@ -117,17 +124,23 @@ def nearest(
         broadcast = small_enough(index, entries, row_bytes=48)
 
     def score(c: Column) -> Column:
-        d = haversine_km(lat, lon, c["lat"], c["lon"])
+        # chord length gives the same distance as the haversine form with a third of the work per site
+        dx, dy, dz = F.col("_u.x") - c["x"], F.col("_u.y") - c["y"], F.col("_u.z") - c["z"]
+        d = F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(dx * dx + dy * dy + dz * dz) * 0.5)
         s = d / c["handicap"] if scaled else d - c["handicap"]
-        return F.struct(F.round(s, 9).alias("s"), c["id"].alias("id"), d.alias("d"))
+        return F.struct(F.rint(s * 1e9).alias("s"), c["id"].alias("id"), d.alias("d"))
 
-    keyed = points.withColumn("_ti", tile_i(lat, tile_deg)).withColumn("_tj", tile_j(lon, tile_deg))
+    keyed = (
+        points.withColumn("_ti", tile_i(lat, tile_deg))
+        .withColumn("_tj", tile_j(lon, tile_deg))
+        .withColumn("_u", unit_vector(lat, lon))
+    )
     ix = index.select(F.col("ti").alias("_ti"), F.col("tj").alias("_tj"), "sites")
     joined = keyed.join(F.broadcast(ix) if broadcast else ix, ["_ti", "_tj"], "left")
     best = F.array_min(F.transform("sites", score))
     return (
         joined.withColumn("_best", best)
-        .drop("_ti", "_tj", "sites")
+        .drop("_ti", "_tj", "_u", "sites")
         .withColumn(id_name, F.col("_best.id"))
         .withColumn(distance_name, F.col("_best.d"))
         .drop("_best")
@@ -230,7 +243,7 @@ def reach_join(
 
 
 __all__ = [
-    "KM_PER_DEG",
+    "auto_tile_deg",
     "box_join",
     "covering_tiles",
     "maybe_broadcast",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from . import q_scalars, q_spatial
+from . import q_evidence, q_scalars, q_spatial
 from .views import Views, registered
 
-__all__ = ["q_scalars", "q_spatial"]
+__all__ = ["q_evidence", "q_scalars", "q_spatial"]
 
 
 def queries():

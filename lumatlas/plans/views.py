@@ -95,6 +95,13 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = ensure_runtime(spark)
         self.folder = folder.rstrip("/")
+        self._memo: dict[str, object] = {}
+
+    def memo(self, key: str, make: Callable[[], object]):
+        """Build a shared dimension (cell model, rule table, tile index) once per data folder object."""
+        if key not in self._memo:
+            self._memo[key] = make()
+        return self._memo[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
