@@ -87,6 +87,7 @@ DEPENDS = {"cells": ("places",), "predictions": ("photos",)}
 Query = Callable[["Views"], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
+_SHARED: dict[tuple[str, str, str], object] = {}
 
 
 class Views:
@@ -95,13 +96,13 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = ensure_runtime(spark)
         self.folder = folder.rstrip("/")
-        self._memo: dict[str, object] = {}
 
     def memo(self, key: str, make: Callable[[], object]):
-        """Build a shared dimension (cell model, rule table, tile index) once per data folder object."""
-        if key not in self._memo:
-            self._memo[key] = make()
-        return self._memo[key]
+        """Build a shared dimension (cell model, rule table) once per application and data folder."""
+        full = (self.spark.sparkContext.applicationId, self.folder, key)
+        if full not in _SHARED:
+            _SHARED[full] = make()
+        return _SHARED[full]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
