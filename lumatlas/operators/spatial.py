@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, col, haversine_km, unit_vector
 
-ROOT_DEG = 30.0
 BROADCAST_BYTES = 64 << 20
 SLACK_KM = 1e-6
 
@@ -41,7 +40,10 @@ def tile_j(lon, deg: float) -> Column:
     return F.pmod(F.floor((col(lon) + 180.0) / deg).cast("int"), F.lit(n))
 
 
-def _tile_bounds(sites: DataFrame, deg: float, scaled: bool) -> DataFrame:
+LADDER = (30.0, 5.0, 1.0, 0.25, 0.05)  # tile sizes from coarse to fine; each divides the one before
+
+
+def _tile_bounds(sites: DataFrame, deg: float, scaled: bool, keys: list[str]) -> DataFrame:
     """Keep the sites that can win somewhere in their tile (columns ti, tj, lat, lon, handicap)."""
     c_lat = (F.col("ti") + 0.5) * deg - 90.0
     c_lon = (F.col("tj") + 0.5) * deg - 180.0
@@ -54,7 +56,7 @@ def _tile_bounds(sites: DataFrame, deg: float, scaled: bool) -> DataFrame:
         lo, hi = F.greatest(F.lit(0.0), d - reach) / F.col("handicap"), (d + reach) / F.col("handicap")
     else:
         lo, hi = d - reach - F.col("handicap"), d + reach - F.col("handicap")
-    best = F.min("hi").over(W.partitionBy("ti", "tj"))
+    best = F.min("hi").over(W.partitionBy(*keys, "ti", "tj"))
     return (
         sites.withColumn("lo", lo)
         .withColumn("hi", hi)
@@ -65,39 +67,54 @@ def _tile_bounds(sites: DataFrame, deg: float, scaled: bool) -> DataFrame:
 
 
 def nearest_index(
-    sites: DataFrame, site_id: str, handicap=0.0, scaled: bool = False, tile_deg: float = 1.0, step: int = 6
+    sites: DataFrame,
+    site_id: str,
+    handicap=0.0,
+    scaled: bool = False,
+    tile_deg: float = 1.0,
+    keys: list[str] | None = None,
+    occupied: DataFrame | None = None,
 ) -> DataFrame:
     """Tile → array of sites that can be nearest to some point in it.
 
-    The score is ``distance - handicap`` or, when ``scaled``, ``distance / handicap``. Use a finer ``tile_deg`` for a
-    dense gazetteer; the index depends on the sites only, so it can be written once and reused.
+    The score is ``distance - handicap`` or, when ``scaled``, ``distance / handicap``. ``tile_deg`` is a step of
+    ``LADDER``. Without ``occupied`` the index covers the world and depends on the sites only, so it can be written
+    once and reused. With ``keys`` sites compete only among equal keys, and ``occupied`` (keys, ti, tj of the finest
+    tiles that hold points) limits the work to tiles in use.
     """
-    s = sites.select(
-        F.col(site_id).alias("id"), col("lat").alias("lat"), col("lon").alias("lon"), col(handicap).alias("handicap")
+    keys = keys or []
+    steps = [d for d in LADDER if d >= tile_deg - 1e-9]
+    if abs(steps[-1] - tile_deg) > 1e-9:
+        raise ValueError(f"tile_deg must be one of {LADDER}")
+    carry = [*keys, "id", "lat", "lon", "handicap"]
+    cur = sites.select(
+        *keys, F.col(site_id).alias("id"), col("lat").alias("lat"), col("lon").alias("lon"), col(handicap).alias("handicap")
     )
-    rows, cols = int(180 / ROOT_DEG), int(360 / ROOT_DEG)
-    # the fixed set of root tiles is the only place where every site meets every tile
-    cur = s.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))).alias("t")
-    ).select("id", "lat", "lon", "handicap", F.floor(F.col("t") / cols).cast("int").alias("ti"), (F.col("t") % cols).alias("tj"))
-    deg = ROOT_DEG
-    cur = _tile_bounds(cur, deg, scaled)
-    while deg > tile_deg * 1.0001:
-        k = step if deg / step >= tile_deg * 0.9999 else max(2, int(round(deg / tile_deg)))
+
+    def used(deg: float) -> DataFrame:
+        k = int(round(deg / tile_deg))
+        return occupied.select(*keys, F.floor(F.col("ti") / k).cast("int").alias("ti"), F.floor(F.col("tj") / k).cast("int").alias("tj")).distinct()
+
+    if occupied is None:
+        rows, cols = int(180 / steps[0]), int(360 / steps[0])
+        # the fixed set of root tiles is the only place where every site meets every tile
+        root = F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))).alias("t")
+        cur = cur.select("*", root).select(*carry, F.floor(F.col("t") / cols).cast("int").alias("ti"), (F.col("t") % cols).alias("tj"))
+    else:
+        cur = cur.join(used(steps[0]), keys)
+    cur = _tile_bounds(cur, steps[0], scaled, keys)
+    for wide, deg in zip(steps, steps[1:], strict=False):
+        k = int(round(wide / deg))
         kids = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1)))
-        cur = cur.select("id", "lat", "lon", "handicap", "ti", "tj", kids.alias("t")).select(
-            "id",
-            "lat",
-            "lon",
-            "handicap",
-            (F.col("ti") * k + F.floor(F.col("t") / k).cast("int")).alias("ti"),
-            (F.col("tj") * k + F.col("t") % k).alias("tj"),
+        cur = cur.select(*carry, "ti", "tj", kids.alias("t")).select(
+            *carry, (F.col("ti") * k + F.floor(F.col("t") / k).cast("int")).alias("ti"), (F.col("tj") * k + F.col("t") % k).alias("tj")
         )
-        deg /= k
-        cur = _tile_bounds(cur, deg, scaled)
+        if occupied is not None:
+            cur = cur.join(used(deg), [*keys, "ti", "tj"], "left_semi")
+        cur = _tile_bounds(cur, deg, scaled, keys)
     u = unit_vector("lat", "lon")
     site = F.struct("id", u["x"].alias("x"), u["y"].alias("y"), u["z"].alias("z"), "handicap")
-    return cur.groupBy("ti", "tj").agg(F.collect_list(site).alias("sites"))
+    return cur.groupBy(*keys, "ti", "tj").agg(F.collect_list(site).alias("sites"))
 
 
 def auto_tile_deg(sites: int) -> float:
@@ -115,6 +132,7 @@ def nearest(
     id_name: str = "site_id",
     distance_name: str = "distance_km",
     broadcast: bool | None = None,
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """Exact nearest site per point under the index's score; ties go to the lower id. Points are not shuffled when
     the index is small enough to broadcast; otherwise the tile join is split by the adaptive skew rule."""
@@ -135,8 +153,8 @@ def nearest(
         .withColumn("_tj", tile_j(lon, tile_deg))
         .withColumn("_u", unit_vector(lat, lon))
     )
-    ix = index.select(F.col("ti").alias("_ti"), F.col("tj").alias("_tj"), "sites")
-    joined = keyed.join(F.broadcast(ix) if broadcast else ix, ["_ti", "_tj"], "left")
+    ix = index.select(*(keys or []), F.col("ti").alias("_ti"), F.col("tj").alias("_tj"), "sites")
+    joined = keyed.join(F.broadcast(ix) if broadcast else ix, [*(keys or []), "_ti", "_tj"], "left")
     best = F.array_min(F.transform("sites", score))
     return (
         joined.withColumn("_best", best)

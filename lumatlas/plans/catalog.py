@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from . import q_archive, q_evidence, q_retrieval, q_scalars, q_skyline, q_spatial, q_street, q_text
+from . import q_archive, q_evidence, q_retrieval, q_scalars, q_skyline, q_sources, q_spatial, q_stream, q_street, q_text
 from .views import Views, registered
 
 __all__ = ["q_evidence", "q_scalars", "q_spatial"]
