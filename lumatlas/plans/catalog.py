@@ -1,13 +1,29 @@
-"""All registered queries."""
+"""All registered queries, and the flagship plan on the derived views."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from . import q_archive, q_evidence, q_retrieval, q_scalars, q_skyline, q_sources, q_spatial, q_stream, q_street, q_text
+from ..sources import answers
+from . import (
+    locate,
+    q_archive,
+    q_evidence,
+    q_retrieval,
+    q_scalars,
+    q_skyline,
+    q_sources,
+    q_spatial,
+    q_stream,
+    q_street,
+    q_text,
+)
+from .rules_fixture import rules
 from .views import Views, registered
 
-__all__ = ["q_evidence", "q_scalars", "q_spatial"]
+__all__ = [
+    "q_archive", "q_evidence", "q_retrieval", "q_scalars", "q_skyline", "q_sources", "q_spatial", "q_stream", "q_street", "q_text",
+]
 
 
 def queries():
@@ -19,4 +35,11 @@ def oracle_sql():
 
 
 def flagship(v: Views) -> DataFrame:
-    return queries()["join_reverse_geocode"](v)
+    """Every detected photo located from its cues, scene text and model answer."""
+    know = locate.Knowledge(
+        model=q_evidence.model(v), rule_leafs=q_evidence.rule_leafs(v), rules=rules(v.spark, v.countries), places=v.places, countries=v.countries
+    )
+    photos = v.detections.select("photo_id").distinct()
+    candidates = answers.candidates(answers.parse_answers(v.answers)).join(photos, "photo_id", "left_semi")
+    lines = v.text_lines.join(photos, "photo_id", "left_semi")
+    return locate.locate(photos, know, v.detections, lines, candidates)
