@@ -214,13 +214,13 @@ def neighbour_points(v):
     select query_id as photo_id, lat, lon from (select *, row_number() over (partition by query_id order by round(dens,12) desc, rank) as rn from d) where rn=1""",
 )
 def _(v):
-    s = neighbour_points(v).select("photo_id", U.density_seed(F.col("points"), F.lit(500.0)).alias("s"))
+    s = neighbour_points(v).select("photo_id", U.density_seed("points", "500D").alias("s"))
     return s.select("photo_id", "s.lat", "s.lon")
 
 
 @query("agg_refine_mode")
 def _(v):
-    m = neighbour_points(v).select("photo_id", U.mean_shift(F.col("points"), F.lit(500.0)).alias("m"))
+    m = neighbour_points(v).select("photo_id", U.mean_shift("points", "500D").alias("m"))
     return m.select("photo_id", r6(F.col("m.lat")).alias("lat"), r6(F.col("m.lon")).alias("lon"))
 
 

@@ -151,7 +151,7 @@ def test_keyed_index_on_occupied_tiles(spark):
 def test_mean_shift_picks_a_mode_not_the_midpoint(spark):
     pts = [(38.72, -9.14), (38.73, -9.13), (38.71, -9.15), (41.15, -8.63)]
     df = spark.createDataFrame([(1, [(a, b, 1.0, -1, 0.0) for a, b in pts])], f"photo_id bigint, points {fusion.POINT_TYPE}")
-    m = df.select(fusion.mean_shift(F.col("points"), F.lit(10.0)).alias("m")).first()["m"]
+    m = df.select(fusion.mean_shift("points", "10D").alias("m")).first()["m"]
     assert hav(m["lat"], m["lon"], 38.72, -9.14) < 3
 
 
