@@ -223,3 +223,21 @@ def text_not_seen(vlm_obs: DataFrame, ocr_obs: DataFrame, weight: float = 0.7) -
 
 def rank_within(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
+def compact_rules(leafs: DataFrame, cells: DataFrame, leaves: int) -> DataFrame:
+    """The same rules with the ratio most leaves share as each rule's default, so the rows kept are the fewest.
+
+    'Drives on the right' holds for three leaves of four: kept this way it singles out the fourth. Only differences
+    to the default reach the posterior, so the answers do not change.
+    """
+    common = leafs.groupBy("rule", "ratio").agg(F.count("*").alias("n"), F.first("default").alias("rest"))
+    flip = common.filter(F.col("n") > leaves / 2.0).select("rule", F.col("ratio").alias("new"), "rest")
+    j = leafs.join(F.broadcast(flip), "rule", "left")
+    kept = j.filter(F.col("new").isNull() | (F.col("ratio") != F.col("new"))).select(
+        "rule", "leaf", "ratio", F.coalesce("new", "default").alias("default")
+    )
+    every = cells.agg(F.collect_set("leaf")).scalar()  # a cell table is a bounded dimension
+    named = j.filter("new is not null").groupBy("rule", "new", "rest").agg(F.collect_set("leaf").alias("touched"))
+    others = named.select("rule", F.explode(F.array_except(every, F.col("touched"))).alias("leaf"), F.col("rest").alias("ratio"), F.col("new").alias("default"))
+    return kept.unionByName(others)

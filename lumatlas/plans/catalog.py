@@ -37,7 +37,7 @@ def oracle_sql():
 def flagship(v: Views) -> DataFrame:
     """Every detected photo located from its cues, scene text and model answer."""
     know = locate.Knowledge(
-        model=q_evidence.model(v), rule_leafs=q_evidence.rule_leafs(v), rules=rules(v.spark, v.countries), places=v.places, countries=v.countries
+        model=q_evidence.model(v), rule_leafs=q_evidence.compact_leafs(v), rules=rules(v.spark, v.countries), places=v.places, countries=v.countries
     )
     photos = v.detections.select("photo_id").distinct()
     candidates = answers.candidates(answers.parse_answers(v.answers)).join(photos, "photo_id", "left_semi")

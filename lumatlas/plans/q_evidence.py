@@ -31,6 +31,15 @@ def model(v):
     return v.memo("model", lambda: C.CellModel(v.cells))
 
 
+def compact_leafs(v):
+    """The rule table with each rule's commonest ratio as default: what answers are computed from."""
+    return v.memo("compact_leafs", lambda: E.compact_rules(rule_leafs(v), v.cells, model(v).leaves).persist())
+
+
+def touched_compact(v):
+    return U.touched_posterior(E.sparse_evidence(observations(v), compact_leafs(v)), model(v))
+
+
 def touched(v):
     return U.touched_posterior(E.sparse_evidence(observations(v), rule_leafs(v)), model(v))
 
@@ -207,7 +216,7 @@ def _(v):
 
 
 def decisions(v):
-    return U.decide(U.photo_rows(touched(v)), model(v))
+    return U.decide(U.photo_rows(touched_compact(v)), model(v))
 
 
 @query(
@@ -217,7 +226,7 @@ def decisions(v):
     select photo_id, rank, leaf, concat(r.name, ', ', c.name) as name, round(p,4)+0.0 as p from r join countries c using (iso2) where rank<=5""",
 )
 def _(v):
-    top = U.top_candidates(U.photo_rows(touched(v)), model(v))
+    top = U.top_candidates(U.photo_rows(touched_compact(v)), model(v))
     lab = v.cells.join(F.broadcast(v.countries.select("iso2", F.col("name").alias("country"))), "iso2").select(
         "leaf", F.concat_ws(", ", "name", "country").alias("name")
     )
@@ -242,7 +251,7 @@ def _(v):
 
 
 def attributions(v):
-    leafs = rule_leafs(v)
+    leafs = compact_leafs(v)
     ev = observations(v).join(F.broadcast(leafs), "rule", "left").select(
         "photo_id",
         F.col("rule").alias("key"),

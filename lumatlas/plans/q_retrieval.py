@@ -11,7 +11,7 @@ from ..operators import places as P
 from ..operators import retrieval as R
 from ..operators import stats
 from ..sources import answers as A
-from .q_evidence import DECIDE, DV, decisions, model, observations, touched
+from .q_evidence import DECIDE, DV, decisions, model, observations, touched_compact
 from .q_scalars import r6
 from .rules_fixture import DENSE
 from .sqlparts import hav
@@ -262,7 +262,7 @@ def _(v):
       round(100*case level when 'world' then bp else t end, 3) as percent from q""",
 )
 def _(v):
-    r = U.locate_rows(U.photo_rows(touched(v)), model(v))
+    r = U.locate_rows(U.photo_rows(touched_compact(v)), model(v))
     mass = F.when(F.col("level") == "world", F.col("best_p")).otherwise(F.col("level_mass"))
     return r.select(
         "photo_id", "level", F.col("out_lat").alias("lat"), F.col("out_lon").alias("lon"), r6(F.col("radius_km"), 4).alias("radius_km"), F.round(100 * mass, 3).alias("percent")
