@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +32,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def only(df: DataFrame, **names: str) -> DataFrame:
     """Just the named columns, renamed: extra columns of the input, whatever they are called, cannot clash."""
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in names.items()])
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once per application, where PYTHONPATH doesn't already."""
+    package = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    import tempfile
+    import zipfile
+
+    archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)

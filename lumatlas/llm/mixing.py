@@ -10,7 +10,7 @@ from .common import WORD, checkpointed
 #: No source is repeated more often than this, and so no report either.
 MOST_EPOCHS = 3
 #: Rows of a source that are ordered together; larger sources are cut into key ranges of about so many rows.
-RUN_ROWS = 20_000
+RUN_ROWS = 2_000
 
 
 def n_words(text: Column) -> Column:

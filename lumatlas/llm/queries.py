@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if oracle:
             ORACLE[name] = oracle
         return fn
@@ -53,3 +59,25 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     photos = table(spark, folder, "documents").select(F.col("doc_id").alias("photo_id"), "source", F.col("text").alias("summary"))
     r = mix_sources(photos, quality=source_quality(spark, folder))
     return r.select(F.col("photo_id").alias("doc_id"), "mix.size", "mix.source_size", "mix.target", "mix.taken", "source", "mix.copies")
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    import uuid
+
+    from ..session import checkpoint_dir
+    from .tokens import token_starts, write_token_files
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    write_token_files(reports(spark, folder), path)
+    return token_starts(spark, path).withColumnRenamed("photo_id", "doc_id")
+
+
+@query("op10_bpe_round_trip")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from .bpe import decode, encode_reports
+
+    r = encode_reports(reports(spark, folder))
+    return r.select(
+        F.col("photo_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256")
+    )
