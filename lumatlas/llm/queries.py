@@ -81,3 +81,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return r.select(
         F.col("photo_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256")
     )
+
+
+@query("op7_top_k_search")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from .neighbours import nearest_photos
+
+    index = table(spark, folder, "embeddings").select(F.col("vec_id").alias("photo_id"), "embedding")
+    r = nearest_photos(index, index.filter("photo_id % 100 = 0"))
+    return r.select("query_id", "rank", F.col("photo_id").alias("vec_id"), "score")
