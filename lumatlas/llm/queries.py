@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -90,3 +90,45 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     index = table(spark, folder, "embeddings").select(F.col("vec_id").alias("photo_id"), "embedding")
     r = nearest_photos(index, index.filter("photo_id % 100 = 0"))
     return r.select("query_id", "rank", F.col("photo_id").alias("vec_id"), "score")
+
+
+@query("op5_licence_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from .licences import scan_licences
+
+    photos = table(spark, folder, "documents").select(F.col("doc_id").alias("photo_id"), F.col("text").alias("note"))
+    r = scan_licences(photos)
+    at = F.transform("base_places", lambda p: p["at"])
+    return r.select(
+        F.col("photo_id").alias("doc_id"),
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("base_places", lambda p: p["label"])))).alias("base_labels"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("licences", lambda p: p["label"])))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("licences", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def toxicity_model(spark: SparkSession, folder: str):
+    """Fitted on the documents of the given folder that are not held out."""
+    from .toxicity import train
+
+    feedback = table(spark, folder, "documents").select(F.col("doc_id").alias("feedback_id"), F.col("text").alias("comment"))
+    labels = table(spark, folder, "labels").filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("feedback_id"), "toxic")
+    return train(feedback, labels)
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import score_comments
+
+    feedback = table(spark, folder, "documents").select(F.col("doc_id").alias("feedback_id"), F.col("text").alias("comment"))
+    r = score_comments(feedback, toxicity_model(spark, folder))
+    doc = F.col("feedback_id")
+    return r.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
