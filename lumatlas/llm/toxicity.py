@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,8 @@ COST = 300.0
 TELLING = 20
 #: Weight of a stand-in: it may well be a harmless word.
 STAND_IN = 0.1
+#: Part of the toxic comments that a telling window must stand in.
+SUPPORT = 0.01
 #: Words whose score a Python worker remembers.
 ROOM = 1_000_000
 
@@ -147,6 +150,24 @@ class Scorer:
         return np.array([max(map(memory.__getitem__, s), default=float("-inf")) for s in seen])
 
 
+def _first_of_copies(bags: list[list[str]]) -> list[int]:
+    """One comment of each group of near copies (two of four minimum hashes agree), so that their words don't seem common."""
+    factors = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint64)
+    seen: list[set[int]] = [set() for _ in factors]
+    out = []
+    for i, bag in enumerate(bags):
+        if bag:
+            h = np.array([zlib.crc32(w.encode()) for w in bag], np.uint64)
+            least = ((h[:, None] * factors) & np.uint64(0xFFFFFFFF)).min(0).tolist()
+            copies = sum(v in s for v, s in zip(least, seen, strict=True)) >= 2
+            for v, s in zip(least, seen, strict=True):
+                s.add(v)
+            if copies:
+                continue
+        out.append(i)
+    return out
+
+
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, steps: int = 30) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton steps; the last coordinate of x is the constant."""
     w = np.zeros(x.shape[1])
@@ -174,6 +195,8 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
     for c in comments:
         words, joined = windows(c)
         bags.append(sorted({p for w in [*words, *joined] for p in letters(w)}))
+    first = _first_of_copies(bags)
+    bags, toxic = [bags[i] for i in first], toxic[first]
     hit, miss = Counter(), Counter()
     for bag, t in zip(bags, toxic.tolist(), strict=True):
         (hit if t else miss).update(bag)
@@ -210,7 +233,7 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
         return out
 
     # windows of several toxic comments that clean ones hardly have count in each of them; else the strongest stands in
-    telling = {w for w in hit if hit[w] >= 3 and (hit[w] + 0.1) * (n0 + 0.2) >= TELLING * (miss[w] + 0.1) * (n1 + 0.2)}
+    telling = {w for w in hit if hit[w] >= max(3, SUPPORT * n1) and (hit[w] + 0.1) * (n0 + 0.2) >= TELLING * (miss[w] + 0.1) * (n1 + 0.2)}
 
     def positives(value) -> list[str]:
         out: list[str] = []
