@@ -132,3 +132,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     r = score_comments(feedback, toxicity_model(spark, folder))
     doc = F.col("feedback_id")
     return r.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from .nearcopies import near_copies
+
+    r = near_copies(reports(spark, folder), words=2)
+    return r.withColumnRenamed("photo_id", "doc_id")
