@@ -63,11 +63,11 @@ class PieceEncoder:
                 tail = parts[1:]
             else:  # starts with one space: every part follows a space
                 head, tail = None, parts[1:]
-            new = set(tail) - memory.keys()
+            new = set(tail).difference(memory)
             if any(not p or p[-1].isspace() for p in new) or head is not None and (not head or head[-1].isspace()):
                 parts = self._closed(parts if head is not None else tail)
                 head, tail = (parts[0], parts[1:]) if head is not None else (None, parts)
-                new = set(tail) - memory.keys()
+                new = set(tail).difference(memory)
             unknown |= new
             split.append(tail)
             heads.append(head)

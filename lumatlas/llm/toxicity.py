@@ -140,7 +140,7 @@ class Scorer:
         for c in comments:
             words, joined = windows(c)
             words.update(joined)
-            new |= words - memory.keys()
+            new |= words.difference(memory)
             seen.append(words)
         parts = [(w, p) for w in new for p in letters(w)]
         memory.update(dict.fromkeys(new, float("-inf")))
