@@ -140,3 +140,14 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
     r = near_copies(reports(spark, folder), words=2)
     return r.withColumnRenamed("photo_id", "doc_id")
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from .passages import remove_repeats
+
+    r = remove_repeats(reports(spark, folder))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return r.select(
+        F.col("photo_id").alias("doc_id"), "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
