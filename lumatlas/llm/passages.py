@@ -368,7 +368,8 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
         p = parsed(block)
         flags = flags_of(p, answers)
         mask = np.zeros(len(p.bucket), np.uint64)
-        hashes, bucket, _, phrases, number = frequent_strings(p, flags)
+        hashes, bucket, least, phrases, number = frequent_strings(p, flags)
+        least = np.append(least, LAST)  # for number -1: no string there
         older = np.zeros(len(hashes) + 1, bool)
         for b, kind, at, value in zip(*(answers.column(k).to_pylist() for k in ("bucket", "kind", "at", "value")), strict=True):
             if kind == 1:
@@ -376,7 +377,8 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
             elif kind == 2:
                 older[np.searchsorted(bucket, b) + np.frombuffer(at, np.uint32)] = True
         for a in range(LEFT + 1):
-            mask[phrases] |= older[number[:, a]].astype(np.uint64) << np.uint64(a)
+            older_here = older[number[:, a]] | (least[number[:, a]] < p.first[phrases])
+            mask[phrases] |= older_here.astype(np.uint64) << np.uint64(a)
         sizes = np.array([len(t) for t in p.texts], np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         change = np.zeros(begins[-1] + 1, np.int32)
