@@ -151,3 +151,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return r.select(
         F.col("photo_id").alias("doc_id"), "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from .quality import classify
+
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("photo_id"), F.col("text").alias("summary"), "lang")
+    trusted = table(spark, folder, "labels").filter("quality = 1").select(F.col("doc_id").alias("photo_id"))
+    return classify(texts, trusted).withColumnRenamed("photo_id", "doc_id")
