@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, partitions
+from .common import partitions
 from .pieces import rolling_hash
 
 #: Bytes of a repeated string; bytes of a trigger word; bytes of a phrase left of its trigger's start, and in all.
@@ -187,8 +187,8 @@ ANSWERS = "to int, bucket int, kind int, at binary, value binary"
 STRINGS = "bucket int, block int, kind int, at binary, word binary, rows binary, range binary, first binary"
 
 
-def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str = "summary") -> DataFrame:
-    """``reports(photo_id, summary)`` -> ``(photo_id, n_bytes, removed, kept)``.
+def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str = "summary", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``reports(photo_id, summary)`` -> ``(photo_id, n_bytes, removed, kept[, carried])``; ``carried`` holds the columns named by ``carry``.
 
     A summary's UTF-8 bytes that a 50-byte string covers which also starts in the summary of a smaller photo id are removed;
     ``removed`` lists the maximal removed runs as ``(start, end)``, ``kept`` is the rest as bytes. Strings are judged on
@@ -208,7 +208,10 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
     """
     spark = reports.sparkSession
     n = partitions(spark)
-    r = only(reports, photo_id=photo_id, summary=summary).withColumn("summary", F.coalesce("summary", F.lit("")).cast("binary"))
+    carried = F.struct(*[reports[f"`{c}`"].alias(c) for c in carry]) if carry else F.lit(None).cast("int")
+    text = F.coalesce(reports[f"`{summary}`"], F.lit("")).cast("binary")
+    r = reports.select(reports[f"`{photo_id}`"].alias("photo_id"), text.alias("summary"), carried.alias("carried"))
+    kind_of_carried = r.schema["carried"].dataType.simpleString()
     kind_of_id = r.schema["photo_id"].dataType.simpleString()
     n_bytes = r.agg(F.sum(F.length("summary"))).first()[0] or 0
     n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
@@ -221,10 +224,10 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
         small = zstandard.ZstdCompressor(level=3)
         for b in batches:
             packed = pa.array([small.compress(t) for t in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), packed, b.column(2)], ["photo_id", "packed", "block"])
+            yield pa.RecordBatch.from_arrays([b.column(0), packed, *b.columns[2:]], ["photo_id", "packed", "carried", "block"])
 
     # this exchange serves all three passes over the blocks
-    blocks = r.mapInArrow(pack, f"photo_id {kind_of_id}, packed binary, block int").repartition(n, "block")
+    blocks = r.mapInArrow(pack, f"photo_id {kind_of_id}, packed binary, carried {kind_of_carried}, block int").repartition(n, "block")
 
     def parsed(block: pa.Table) -> Parse:
         import zstandard
@@ -405,7 +408,8 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
             removed.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
             kept.append(np.frombuffer(t, np.uint8)[~own].tobytes() if len(edge) else t)
         runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"photo_id": block.column("photo_id"), "n_bytes": pa.array(sizes), "removed": pa.array(removed, runs), "kept": pa.array(kept, pa.binary())})
+        own = {"n_bytes": pa.array(sizes), "removed": pa.array(removed, runs), "kept": pa.array(kept, pa.binary())}
+        return pa.table({"photo_id": block.column("photo_id"), **own, "carried": block.column("carried")})
 
     phrases = blocks.groupBy("block").applyInArrow(list_phrases, PHRASES)
     # this exchange serves the second and the third pass
@@ -414,8 +418,9 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
     second = strings.groupBy("bucket").applyInArrow(order_suffixes, ANSWERS)
     answers = first.unionByName(second)
     runs = "array<struct<start: bigint, end: bigint>>"
-    schema = f"photo_id {kind_of_id}, n_bytes bigint, removed {runs}, kept binary"
-    return blocks.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(strip, schema)
+    schema = f"photo_id {kind_of_id}, n_bytes bigint, removed {runs}, kept binary, carried {kind_of_carried}"
+    out = blocks.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(strip, schema)
+    return out if carry else out.drop("carried")
 
 
 def _pack_ids(ids: np.ndarray) -> bytes:
