@@ -168,6 +168,26 @@ def _free_hashes(rows: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
+def suffix_orders(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The suffix array of phrases, place by place from ``LEFT`` down to 0: the phrases in the order of their suffixes there.
+
+    The suffixes from the trigger on are sorted as they are. One place further left, the order follows from the letter
+    there and the rank of what comes after it, which is known already.
+    """
+    right = np.zeros((len(rows), -(-LENGTH // 8) * 8), np.uint8)
+    right[:, :LENGTH] = rows[:, LEFT:]
+    columns = right.view(">u8").astype(np.uint64)
+    order = np.lexsort(columns.T[::-1])
+    rank = np.zeros(len(rows), np.uint64)
+    rank[order] = np.concatenate([[0], np.cumsum((columns[order[1:]] != columns[order[:-1]]).any(1))])[: len(rows)]
+    yield LEFT, order
+    for a in range(LEFT - 1, -1, -1):
+        key = rows[:, a].astype(np.uint64) << np.uint64(32) | rank
+        order = np.argsort(key)
+        rank[order] = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])[: len(rows)]
+        yield a, order
+
+
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
@@ -184,7 +204,7 @@ def _least(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 PHRASES = "bucket int, block int, word_low binary, word_high binary, hash_low binary, hash_high binary, first binary"
 ANSWERS = "to int, bucket int, kind int, at binary, value binary"
-STRINGS = "bucket int, block int, kind int, at binary, word binary, rows binary, range binary, first binary"
+STRINGS = "bucket int, block int, kind int, at binary, hash binary, rows binary, range binary, first binary"
 
 
 def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str = "summary", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -199,8 +219,8 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
     its bytes alone choose. The dictionary holds the distinct phrases around triggers (as far as a 50-byte string with the
     trigger reaches), with the smallest report of each; the parse of a report is its sequence of phrases. A report whose
     phrase occurs in a smaller one loses all strings of it. What is left are strings shared by different phrases of the
-    dictionary: phrases with the same trigger word are brought into the corpus order of their suffixes at each distance
-    from the trigger (to the depth of 50 bytes, by hash), and equal suffixes give each other the smallest report.
+    dictionary: rival phrases (of one trigger word) meet, their suffix array brings their strings into corpus order, and
+    neighbours with 50 equal bytes give each other the smallest report.
 
     Texts are shuffled once, compressed, into blocks; parsing is repeated for each of three passes over them. Per block a
     phrase counts once, so a frequent one has as many entries as blocks at most. Phrases meet by trigger word; those of a
@@ -331,7 +351,7 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
                 rows, lo, hi = p.phrase_bytes(one_each(p, some))
                 bucket = int(p.bucket[some[0]])
                 at = (some - np.searchsorted(p.bucket, bucket)).astype(np.uint32)
-                out.append([bucket, of, 1, at.tobytes(), p.words[some].tobytes(), rows.tobytes(), np.stack([lo, hi], 1).astype(np.uint8).tobytes(), p.first[some].tobytes()])
+                out.append([bucket, of, 1, at.tobytes(), b"", rows.tobytes(), np.stack([lo, hi], 1).astype(np.uint8).tobytes(), p.first[some].tobytes()])
             hashes, bucket, least, _, _ = frequent_strings(p, flags)
             starts = _runs(bucket)
             for a, b in zip(starts.tolist(), np.append(starts, len(bucket))[1:].tolist(), strict=True):
@@ -344,19 +364,21 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
         for kind in (1, 2):
             mine = bucket.filter(pa.compute.equal(bucket.column("kind"), kind))
             c = {k: mine.column(k).to_pylist() for k in mine.column_names}
-            words, docs = _join(c["word"], np.uint64), _join(c["first"], np.int64)
+            docs = _join(c["first"], np.int64)
             sizes = [len(x) // 8 for x in c["first"]]
-            mask = np.zeros(len(words), np.uint64)
+            mask = np.zeros(len(docs), np.uint64)
             if kind == 1:
                 rows = _join(c["rows"], np.uint8).reshape(-1, PHRASE)
                 lo, hi = _join(c["range"], np.uint8).reshape(-1, 2).T.astype(int)
-                for a in range(LEFT + 1):
-                    ok = np.flatnonzero((lo <= a) & (a + LENGTH <= hi))
-                    strings = (_LETTER[rows[ok, a : a + LENGTH]] * _PLACE[:LENGTH]).sum(1, dtype=np.uint64)
-                    keys = _mix(strings ^ words[ok] * _MUL)
-                    mask[ok] |= (_least(keys, docs[ok]) < docs[ok]).astype(np.uint64) << np.uint64(a)
+                for a, order in suffix_orders(rows):
+                    order = order[((lo <= a) & (a + LENGTH <= hi))[order]]
+                    if len(order):
+                        strings = rows[order, a : a + LENGTH]
+                        starts = np.flatnonzero(np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)]))
+                        least = np.repeat(np.minimum.reduceat(docs[order], starts), np.diff(np.append(starts, len(order))))
+                        mask[order] |= (least < docs[order]).astype(np.uint64) << np.uint64(a)
             else:
-                mask[:] = _least(words, docs) < docs
+                mask[:] = _least(_join(c["hash"], np.uint64), docs) < docs
             a = 0
             for k, s in enumerate(sizes):
                 hit = np.flatnonzero(mask[a : a + s])

@@ -107,7 +107,7 @@ class ToxicityModel:
             for a in range(0, len(own), 8192):
                 at = own[a : a + 8192]
                 cols, weights = subsequences([bare[k] for k in at])
-                value = self.weight[cols] @ weights
+                value = (self.weight[cols] * weights).sum(1)  # row by row: the same in every batch
                 order = np.argsort(cols, 1)
                 sorted_cols = np.take_along_axis(cols, order, 1)
                 total = np.cumsum(weights[order], 1)
@@ -202,7 +202,7 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
         (hit if t else miss).update(bag)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     if not hit:
-        return ToxicityModel(np.zeros(1 << 15), 1.0, 0.0, [])
+        return ToxicityModel(np.zeros(1 << 15), 1.0, 5.0, [])  # nothing known to be toxic
 
     def lean(w: str) -> float:
         p, q = (hit[w] + 0.1) / (n1 + 0.2), (miss[w] + 0.1) / (n0 + 0.2)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lumatlas.llm import passages
@@ -51,6 +52,15 @@ def test_repeats_equal_brute_force(shipped, monkeypatch, block, dictionary, freq
     check(shipped.createDataFrame(rows, "photo_id bigint, summary string").repartition(4), [(i, t.encode()) for i, t in rows])
 
 
+def test_suffix_orders():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(97, 99, (300, passages.PHRASE), dtype=np.uint8)
+    rows[100:200, 20:] = rows[7, 20:]
+    for a, order in passages.suffix_orders(rows):
+        suffixes = [rows[i, a:].tobytes() for i in order]
+        assert suffixes == sorted(suffixes)
+
+
 def test_long_texts_go_part_by_part(shipped, monkeypatch):
     monkeypatch.setattr(passages, "PART_BYTES", 300)
     rng = random.Random(9)
