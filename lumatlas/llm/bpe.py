@@ -80,14 +80,14 @@ def join_chunks(text: bytes, starts: list[int], is_safe: list[bool], safe: np.nd
         left, right = over(s), over(e)
         kept_from, kept_to = left[1] if left else s, right[0] if right else e
         if kept_from < e or not left:
-            head = enc.encode([text[s:kept_from].decode()])[0] if left else b""
-            tail = enc.encode([text[kept_to:e].decode()])[0] if right else b""
+            head = enc.encode([text[s:kept_from]])[0] if left else b""
+            tail = enc.encode([text[kept_to:e]])[0] if right else b""
             agreed &= own[: len(head)] == head and own[len(own) - len(tail) :] == tail
             out.append(own[len(head) : len(own) - len(tail)])
         if right and right[0] not in done:
             done.add(right[0])
-            out.append(enc.encode([text[right[0] : right[1]].decode()])[0])
-    return b"".join(out) if agreed else enc.encode([text.decode()])[0]
+            out.append(enc.encode([text[right[0] : right[1]]])[0])
+    return b"".join(out) if agreed else enc.encode([text])[0]
 
 
 def _key(chunk: bytes) -> bytes:
@@ -154,7 +154,7 @@ def encode_reports(reports: DataFrame, photo_id: str = "photo_id", summary: str
                 key = _key(text[a:b])
                 if key in missing:
                     missing.discard(key)
-                    found[key] = text[a:b].decode()
+                    found[key] = text[a:b]
         ids = encoder(path).encode(list(found.values()))
         return pa.table({"chunk": pa.array(list(found), pa.binary()), "ids": pa.array(ids, pa.binary())})
 
@@ -170,7 +170,7 @@ def encode_reports(reports: DataFrame, photo_id: str = "photo_id", summary: str
             chunks = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
             keys = [_key(c) for c in chunks]
             new = {k: c for k, c in zip(keys, chunks, strict=True) if k not in memory}
-            memory |= zip(new, enc.encode([c.decode() for c in new.values()]), strict=True)
+            memory |= zip(new, enc.encode(list(new.values())), strict=True)
             ids = np.frombuffer(join_chunks(text, starts, is_safe, safe, [memory[k] for k in keys], enc), enc.dtype)
             out.append(ids.astype("<u4").tobytes())
             counts.append(len(ids))

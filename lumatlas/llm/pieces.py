@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -15,15 +16,45 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _class(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+_LETTER = _class(bytes([*range(65, 91), *range(97, 123)]))
+_STOP = _class(b".,!?;:")
+_PRINTED = _class(bytes(range(0x21, 0x7F)))
+_SECOND, _LEAD = _class(bytes(range(0x80, 0xC0))), _class(bytes(range(0xC3, 0xE0)))
+
+
+def piece_cuts(data: np.ndarray) -> np.ndarray:
+    """Where a cut never changes a byte-level BPE result, because the pre-tokenizer starts a new token there anyway.
+
+    Before a space or line feed that follows a printable character (ASCII, or one of two bytes from U+00C0 on: none of those
+    is white space); before a stop that follows a letter; before a letter that follows a single line feed.
+    """
+    out = np.zeros(len(data), bool)
+    if len(data) < 3:
+        return out
+    two, one, here = data[:-2], data[1:-1], data[2:]
+    solid = _PRINTED[one] | (_SECOND[one] & _LEAD[two])
+    out[2:] = (((here == 0x20) | (here == 0x0A)) & solid) | (_STOP[here] & _LETTER[one]) | (_LETTER[here] & (one == 0x0A) & _PRINTED[two])
+    out[1] = bool(_PRINTED[data[0]]) and data[1] in (0x20, 0x0A)
+    return out
+
+
 class PieceEncoder:
     """The tokenizers library behind a memory of text pieces: each piece is encoded by the library once per memory fill.
 
-    A cut before a space that follows a non-white character never changes a byte-level BPE result, because the
-    pre-tokenizer always starts a new token there. Texts are cut at such spaces; pieces that are empty or end in white
-    space are kept together with what follows. The memory is emptied when it is full, so its size is bounded.
+    Texts are cut where that never changes the result (``piece_cuts``). Pieces are told apart by 64-bit hashes. When the
+    memory is full it starts anew, so its size is bounded (about 25 bytes a piece).
     """
 
-    def __init__(self, path: str, room: int = 1_200_000) -> None:
+    #: Bytes that are encoded together.
+    SLICE = 1 << 20
+
+    def __init__(self, path: str, room: int = 3_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,59 +63,80 @@ class PieceEncoder:
         self.lib.no_padding()
         self.dtype = np.uint16 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.room = room
-        self.after_space: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _closed(parts: list[str]) -> list[str]:
-        """Join parts again wherever a cut would stand behind white space."""
-        out, held = [], None
-        for p in parts:
-            whole = p if held is None else f"{held} {p}"
-            if not whole or whole[-1].isspace():
-                held = whole
-            else:
-                out.append(whole)
-                held = None
-        return out if held is None else [*out, held]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        rng = np.random.default_rng(4711)
+        self.letter = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.place = rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, self.dtype)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        sizes = np.diff(np.append(starts, len(data)))
+        rel = np.arange(len(data)) - np.repeat(starts, sizes)
+        if sizes.max() > len(self.place):  # powers of an odd number go on for as long as a piece is
+            more = np.full(sizes.max() - len(self.place), 0x9E3779B97F4A7C15, np.uint64)
+            self.place = np.concatenate([self.place, np.cumprod(np.concatenate([self.place[-1:], more]))[1:]])
+        h = np.add.reduceat(self.letter[data] * self.place[rel], starts)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Encode pieces by the library and remember them; keys are sorted and new."""
+        ids = [e.ids for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(count.sum()))
+        start = len(self.pool) + np.cumsum(count, dtype=np.int64) - count
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.count = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.start, start), (self.count, count)))
+        self.pool = np.concatenate([self.pool, flat])
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of pieces, and how many each has."""
+        distinct, first, back = np.unique(self._hashes(data, starts), return_index=True, return_inverse=True)
+        if len(self.keys) > self.room:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+        new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        if new.any():
+            ends = np.append(starts, len(data))
+            raw = data.tobytes()
+            self._learn(distinct[new], [raw[starts[k] : ends[k + 1]].decode() for k in first[new].tolist()])
+            at = np.searchsorted(self.keys, distinct)
+        at = at[back]
+        count = self.count[at]
+        ends = np.cumsum(count, dtype=np.int64)
+        place = np.repeat(self.start[at] - ends + count, count) + np.arange(ends[-1])
+        return self.pool[place], count
+
+    def encode_bytes(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 texts one after another -> all ids, and how many each text has."""
+        starts = np.append(0, ends[:-1]) if len(ends) else ends
+        counts = np.zeros(len(ends), np.int64)
+        if not len(data):
+            return np.zeros(0, self.dtype), counts
+        cut = piece_cuts(data)
+        cut[starts[starts < len(data)]] = True
+        cuts = np.flatnonzero(cut)
+        out, a = [], 0
+        while a < len(cuts):
+            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + self.SLICE)))
+            stop = int(cuts[b]) if b < len(cuts) else len(data)
+            ids, count = self._pieces(data[cuts[a] : stop], cuts[a:b] - cuts[a])
+            out.append(ids)
+            counts += np.bincount(np.searchsorted(ends, cuts[a:b], "right"), count, minlength=len(ends)).astype(np.int64)
+            a = b
+        return np.concatenate(out), counts
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
-        if len(self.after_space) > self.room:
-            self.after_space.clear()
-        memory = self.after_space
-        split, heads, unknown = [], [], set()
-        for text in texts:
-            parts = text.split(" ")
-            head = parts[0]
-            if head or len(parts) > 1 and (not parts[1] or parts[1][0].isspace()):
-                tail = parts[1:]
-            else:  # starts with one space: every part follows a space
-                head, tail = None, parts[1:]
-            new = set(tail).difference(memory)
-            if any(not p or p[-1].isspace() for p in new) or head is not None and (not head or head[-1].isspace()):
-                parts = self._closed(parts if head is not None else tail)
-                head, tail = (parts[0], parts[1:]) if head is not None else (None, parts)
-                new = set(tail).difference(memory)
-            unknown |= new
-            split.append(tail)
-            heads.append(head)
-        known = list(unknown)
-        extra: dict[str, bytes] = {}
-        for p, ids in zip(known, self._library([f" {p}" for p in known]), strict=True):
-            # what ends in white space can only end a text; it must not pass for a whole piece elsewhere
-            (extra if not p or p[-1].isspace() else memory)[p] = ids
-        first = iter(self._library([h for h in heads if h]))
-        out = []
-        for head, tail in zip(heads, split, strict=True):
-            try:
-                body = b"".join(map(memory.__getitem__, tail))
-            except KeyError:
-                body = b"".join(extra[p] if p in extra else memory[p] for p in tail)
-            out.append((next(first) + body) if head else body)
-        return out
+        ids, counts = self.encode_bytes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64))
+        raw, width = ids.tobytes(), ids.itemsize
+        ends = np.cumsum(counts) * width
+        return [raw[e - c * width : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

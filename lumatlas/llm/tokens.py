@@ -31,17 +31,20 @@ def encoded(reports: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        tail = b"" if end_id is None else np.array([end_id], np.int32).astype(enc.dtype).tobytes()
-        width = np.dtype(enc.dtype).itemsize
         for batch in batches:
-            ids = [x + tail for x in enc.encode([t or "" for t in batch.column(1).to_pylist()])]
-            counts = np.array([len(x) // width for x in ids], np.int64)
+            text = batch.column(1)
+            ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+            data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+            flat, counts = enc.encode_bytes(data, ends[1:] - ends[0])
+            if end_id is not None:
+                flat = np.insert(flat.astype(np.int32), np.cumsum(counts), end_id)
+                counts = counts + 1
             offsets = np.concatenate([[0], np.cumsum(counts)])
-            flat = np.frombuffer(b"".join(ids), enc.dtype).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), lists], ["photo_id", "n_tokens", "ids"])
 
     kind = reports.schema["photo_id"].dataType.simpleString()
+    reports = reports.select("photo_id", F.coalesce("summary", F.lit("")).alias("summary"))
     return reports.mapInArrow(run, f"photo_id {kind}, n_tokens bigint, ids array<int>")
 
 
