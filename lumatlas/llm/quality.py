@@ -15,7 +15,11 @@ from .common import checkpointed, only, partitions
 #: Bytes of an n-gram; an n-gram is one number, its order in the top byte and its bytes below, the last one lowest.
 ORDER = 5
 #: Text of a block that asks for the probabilities of its n-grams at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Trusted ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+#: Probabilities travel as logarithms in steps of 1 / LOG_STEPS.
+LOG_STEPS = 1000
 #: A language's limits: quantiles of trusted summaries' perplexities, found to STEP in the logarithm.
 LOW, HIGH, STEP = 0.002, 0.995, 1e-3
 
@@ -116,7 +120,8 @@ def perplexities(reports: DataFrame, model: DataFrame, photo_id: str = "photo_id
 
     def asked(texts: list[bytes]) -> list[np.ndarray]:
         """Distinct n-grams of each order from 0 on, with the contexts they fall back through."""
-        own = [np.sort(pd.unique(np.concatenate([grams(texts[a : a + 512])[0] for a in range(0, len(texts), 512)] or [np.zeros(0, np.int64)])))]
+        parts = [pd.unique(grams(texts[a : a + 512])[0]) for a in range(0, len(texts), 512)]
+        own = [np.unique(np.concatenate(parts or [np.zeros(0, np.int64)]))]
         for n in range(ORDER - 1, -1, -1):
             own.append(np.unique(np.concatenate([own[-1] & _mask(n), own[-1] >> 8])))
         return own[::-1]
@@ -131,7 +136,8 @@ def perplexities(reports: DataFrame, model: DataFrame, photo_id: str = "photo_id
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(shards + 1))
         full = [s for s in range(shards) if ends[s] < ends[s + 1]]
-        packed = [keys[order[ends[s] : ends[s + 1]]].tobytes() for s in full]
+        # ascending within a shard, so their differences are short numbers
+        packed = [_squeeze(np.diff(keys[order[ends[s] : ends[s + 1]]], prepend=0)) for s in full]
         of = block.column("block")[0].as_py()
         return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([of] * len(full), pa.int32()), "keys": pa.array(packed, pa.binary())})
 
@@ -142,10 +148,12 @@ def perplexities(reports: DataFrame, model: DataFrame, photo_id: str = "photo_id
         p, back = (np.nan_to_num(known.column(c).to_numpy().astype(np.float64)[order]).astype(np.float32) for c in ("p", "back"))
         values = []
         for packed in asks.column("keys").to_pylist():
-            k = np.frombuffer(packed, np.int64)
+            k = np.cumsum(_expand(packed, np.int64))
             at = np.minimum(np.searchsorted(key, k), max(0, len(key) - 1))
             hit = key[at] == k if len(key) else np.zeros(len(k), bool)
-            values.append(np.stack([np.where(hit, p[at], 0), np.where(hit, back[at], 0)]).astype(np.float32).tobytes() if len(key) else np.zeros((2, len(k)), np.float32).tobytes())
+            found = [np.where(hit, x[at], 0) if len(key) else np.zeros(len(k)) for x in (p, back)]
+            logs = [np.where(x > 0, np.clip(np.rint(-LOG_STEPS * np.log(np.where(x > 0, x, 1))), 0, 32766) + 1, 0) for x in found]
+            values.append(_squeeze(np.stack(logs).astype(np.int16)))
         return pa.table({"to": asks.column("block"), "shard": asks.column("shard"), "value": pa.array(values, pa.binary())})
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -157,7 +165,8 @@ def perplexities(reports: DataFrame, model: DataFrame, photo_id: str = "photo_id
         starts = np.searchsorted(shard[order], np.arange(shards + 1))
         value = np.zeros((2, len(keys)), np.float32)
         for s, packed in zip(answers.column("shard").to_pylist(), answers.column("value").to_pylist(), strict=True):
-            value[:, order[starts[s] : starts[s + 1]]] = np.frombuffer(packed, np.float32).reshape(2, -1)
+            logs = _expand(packed, np.int16).reshape(2, -1).astype(np.float32)
+            value[:, order[starts[s] : starts[s + 1]]] = np.where(logs > 0, np.exp((1 - logs) / LOG_STEPS), 0)
         at = 0
         p, back = [], []
         for g in own:
@@ -191,6 +200,18 @@ def perplexities(reports: DataFrame, model: DataFrame, photo_id: str = "photo_id
     return blocks.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(score, f"photo_id {kind}, n_bytes bigint, perplexity double")
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+
+
+def _expand(packed: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
+
+
 def _bin(perplexity: Column) -> Column:
     return F.floor(F.log(perplexity) / STEP)
 
@@ -212,7 +233,10 @@ def classify(
     r = only(reports, photo_id=photo_id, summary=summary, lang=lang)
     known = trusted.select(F.col("photo_id").alias("known")).filter("known is not null").distinct()
     test = F.pmod(F.xxhash64("known"), F.lit(5)) == 0
-    learn = r.join(known.filter(~test), F.col("photo_id") == F.col("known"), "left_semi").select(F.coalesce("summary", F.lit("")).cast("binary").alias("summary"))
+    taught = known.filter(~test)
+    # a checked broadcast spares a shuffle of the texts
+    taught = F.broadcast(taught) if taught.count() <= BROADCAST_IDS else taught
+    learn = r.join(taught, F.col("photo_id") == F.col("known"), "left_semi").select(F.coalesce("summary", F.lit("")).cast("binary").alias("summary"))
     ids = r.select(F.struct("photo_id", "lang").alias("photo_id"), "summary")
     scored = checkpointed(perplexities(ids, kneser_ney(count_grams(learn))).select("photo_id.*", "n_bytes", "perplexity"))
     held = scored.join(known.filter(test), F.col("photo_id") == F.col("known"), "left_semi").filter("perplexity is not null")

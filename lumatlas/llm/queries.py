@@ -83,7 +83,16 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op7_top_k_search")
+@query(
+    "op7_top_k_search",
+    """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10""",
+)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     from .neighbours import nearest_photos
 
@@ -134,7 +143,20 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return r.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
-@query("op3_near_duplicates")
+@query(
+    "op3_near_duplicates",
+    r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, case when len(ws) < 2 then ws else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end as sh from w),
+e as (select doc_id, unnest(sh) as g from s),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as n from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from c join s x on a = x.doc_id join s y on b = y.doc_id where 100 * n >= 80 * (len(x.sh) + len(y.sh) - n)),
+sym as (select a, b from l union all select b, a from l),
+reach as (select doc_id, doc_id as r from s union select reach.doc_id, b from reach join sym on r = a)
+select doc_id, cast(any_value(len(sh)) as bigint) as n_shingles, min(r) as component_id, min(r) = doc_id as kept
+from reach join s using (doc_id) group by doc_id""",
+)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     from .nearcopies import near_copies
 
@@ -142,7 +164,22 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return r.withColumnRenamed("photo_id", "doc_id")
 
 
-@query("op1_suffix_array_dedup")
+@query(
+    "op1_suffix_array_dedup",
+    """
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as hx, octet_length(encode(coalesce(text, ''))) as n from documents),
+p as (select doc_id, i, substr(hx, 2 * i + 1, 100) as s from (select doc_id, hx, unnest(range(0, n - 49)) as i from h)),
+f as (select s, min(doc_id) as m from p group by s),
+k as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from p join f using (s) where m < doc_id),
+g as (select doc_id, i, sum(case when before is null or i > before + 50 then 1 else 0 end) over (partition by doc_id order by i) as run from k),
+runs as (select doc_id, run, min(i) as a, max(i) + 50 as b from g group by all),
+gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as since from runs),
+cut as (select doc_id, sum(b - a) as gone, count(*) as spans, max(b) as last, string_agg(substr(hx, 2 * since + 1, 2 * (a - since)), '' order by a) as kept
+  from gaps join h using (doc_id) group by doc_id)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
+ sha256(unhex(case when last is null then hx else kept || substr(hx, 2 * last + 1) end)) as kept_sha256
+from h left join cut using (doc_id)""",
+)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     from .passages import remove_repeats
 

@@ -60,7 +60,7 @@ def test_perplexities(shipped, monkeypatch, block, nasty):
         want.append((i is None, i or 0, len(logs), math.exp(-sum(logs) / len(logs)) if logs else -1))
     got = sorted((r.photo_id is None, r.photo_id or 0, r.n_bytes, r.perplexity if r.perplexity is not None else -1) for r in got)
     for a, b in zip(got, sorted(want), strict=True):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-4)
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=2e-3)
 
 
 def test_junk_is_rejected_and_clean_text_kept(shipped, nothing):
