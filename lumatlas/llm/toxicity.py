@@ -18,18 +18,18 @@ from .common import only
 SPAN, DECAY = 6, 0.6
 #: Letters of a window; longer words are read through overlapping windows.
 LETTERS = 24
-#: Labelled comments of either class that the machine is fitted on at most, and landmarks of either kind.
-SAMPLE, LANDMARKS = 3000, 128
+#: Toxic comments that the machine is fitted on at most (and twice as many clean ones), and landmarks of either kind.
+SAMPLE, LANDMARKS = 1500, 128
 #: Price of errors against the width of the margin.
 COST = 300.0
 #: How many times likelier a window must be in toxic comments to count as telling.
 TELLING = 20
 #: Weight of a stand-in: it may well be a harmless word.
-STAND_IN = 0.1
+STAND_IN = 0.02
 #: Part of the toxic comments that a telling window must stand in.
-SUPPORT = 0.01
+SUPPORT = 0.02
 #: Words whose score a Python worker remembers.
-ROOM = 1_000_000
+ROOM = 500_000
 
 _OFFSETS = [(i, i + j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 
@@ -188,13 +188,15 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
 
     A comment's label holds for its sentences only as a whole: a toxic comment has some toxic window, a clean one has none.
     So the machine is trained on windows, the telling ones (or the strongest) of each toxic comment against those of clean
-    ones (the hardest are added), and they are chosen anew for some rounds. Landmarks are the windows that tell the classes apart most, and others at random.
+    ones (the hardest are added), and they are chosen anew for some rounds. Landmarks are the windows that tell the
+    classes apart most, the commonest clean ones, and others at random.
     """
     rng = np.random.default_rng(seed)
     bags = []
+    one: dict[str, str] = {}  # equal words are one object
     for c in comments:
         words, joined = windows(c)
-        bags.append(sorted({p for w in [*words, *joined] for p in letters(w)}))
+        bags.append(sorted({one.setdefault(p, p) for w in [*words, *joined] for p in letters(w)}))
     first = _first_of_copies(bags)
     bags, toxic = [bags[i] for i in first], toxic[first]
     hit, miss = Counter(), Counter()
@@ -210,17 +212,19 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
 
     ranked = sorted(hit, key=lambda w: (-lean(w), w))
     others = sorted(miss)
-    chosen = ranked[:landmarks] + [others[i] for i in rng.permutation(len(others))[:landmarks]]
+    common = sorted(miss, key=lambda w: (-miss[w], w))
+    chosen = ranked[:landmarks] + common[: landmarks // 2] + [others[i] for i in rng.permutation(len(others))[: landmarks // 2]]
     chosen = sorted(set(chosen))
-    space = np.zeros((len(chosen), 1 << 15))
+    space = np.zeros((len(chosen), 1 << 15), np.float32)
     for k, w in enumerate(chosen):
         for u, v in features(w).items():
             space[k, u] = v
-    gram = space @ space.T
+    gram = (space @ space.T).astype(float)
     values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nystrom: z(w) = root' k(landmarks, w)
-    to_z = (space.T @ root).astype(np.float32)
+    to_z = space.T @ root.astype(np.float32)
+    del space
     images: dict[str, np.ndarray] = {}
 
     def z(bare: list[str]) -> np.ndarray:
@@ -243,7 +247,7 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
         return out
 
     strongest = positives(lean)
-    against = [others[i] for i in rng.permutation(len(others))[: 2 * SAMPLE]] or ["abc"]
+    against = sorted({*common[:SAMPLE], *(others[i] for i in rng.permutation(len(others))[: 2 * SAMPLE])}) or ["abc"]
     model = ToxicityModel(np.zeros(1 << 15), 1.0, 0.0, chosen)
     for _ in range(rounds):
         pos = Counter(strongest)
@@ -262,6 +266,9 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
     top = np.array([max((margin[p] for p in b), default=-np.inf) for b in bags]) - w[-1]
     ok = np.isfinite(top)
     model.slope, model.middle = _calibrate(top[ok], toxic[ok].astype(float))
+    if ok.any() and 0 < toxic[ok].sum() < ok.sum():  # drawn towards the middle of the gap between the classes' tails
+        gap = np.quantile(top[ok & (toxic == 0)], 0.999), np.quantile(top[ok & (toxic == 1)], 0.02)
+        model.middle = (model.middle + sum(gap) / 2) / 2
     return model
 
 
@@ -287,12 +294,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(feedback: DataFrame, labels: DataFrame, feedback_id: str = "feedback_id", comment: str = "comment", most: int = SAMPLE) -> ToxicityModel:
     """Fit on ``feedback(feedback_id, comment)`` with ``labels(feedback_id, toxic)``.
 
-    At most ``most`` comments of either class are used, those with the smallest hashes of their ids; that sample goes to
+    At most ``most`` toxic and twice as many clean comments are used, those with the smallest hashes of their ids; that sample goes to
     the driver. Null labels and comments are left out; of repeated ids the larger label holds. Labels, and nothing else
     of the comment's record, are read beside the text.
     """
     known = labels.groupBy(F.col("feedback_id").alias("known")).agg(F.max("toxic").alias("toxic")).filter("toxic is not null and known is not null")
-    picked = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("known"), "known").limit(most) for t in (0, 1)]
+    picked = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("known"), "known").limit((2 - t) * most) for t in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     r = only(feedback, id=feedback_id, comment=comment).filter("comment is not null")
     rows = r.join(F.broadcast(picked), F.col("id") == F.col("known")).select("known", "comment", "toxic").toPandas()
@@ -312,7 +319,8 @@ def score_comments(feedback: DataFrame, model: ToxicityModel, feedback_id: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            top = scorer.highest([c or "" for c in b.column(1).to_pylist()])
+            parts = [b.column(1).slice(a, 256).to_pylist() for a in range(0, b.num_rows, 256)]
+            top = np.concatenate([scorer.highest([c or "" for c in part]) for part in parts] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.probability(top))], ["feedback_id", "score"])
 
     kind = r.schema["feedback_id"].dataType.simpleString()
