@@ -80,14 +80,14 @@ def join_chunks(text: bytes, starts: list[int], is_safe: list[bool], safe: np.nd
         left, right = over(s), over(e)
         kept_from, kept_to = left[1] if left else s, right[0] if right else e
         if kept_from < e or not left:
-            head = enc.encode([text[s:kept_from]])[0] if left else b""
-            tail = enc.encode([text[kept_to:e]])[0] if right else b""
+            head = enc.plain(text[s:kept_from]) if left else b""
+            tail = enc.plain(text[kept_to:e]) if right else b""
             agreed &= own[: len(head)] == head and own[len(own) - len(tail) :] == tail
             out.append(own[len(head) : len(own) - len(tail)])
         if right and right[0] not in done:
             done.add(right[0])
-            out.append(enc.encode([text[right[0] : right[1]]])[0])
-    return b"".join(out) if agreed else enc.encode([text])[0]
+            out.append(enc.plain(text[right[0] : right[1]]))
+    return b"".join(out) if agreed else enc.plain(text)
 
 
 def _key(chunk: bytes) -> bytes:
@@ -164,14 +164,15 @@ def encode_reports(reports: DataFrame, photo_id: str = "photo_id", summary: str
     def assemble(block: pa.Table, known: pa.Table) -> pa.Table:
         enc = encoder(path)
         memory = dict(zip(known.column("chunk").to_pylist(), known.column("ids").to_pylist(), strict=True))
+        texts = _texts(block) if block.num_rows else []
+        cuts = [cut(text) for text in texts]
+        chunks = [[t[a:b] for a, b in zip(starts, [*starts[1:], len(t)], strict=True)] for t, (starts, _, _) in zip(texts, cuts, strict=True)]
+        keys = [[_key(c) for c in own] for own in chunks]
+        new = {k: c for ks, cs in zip(keys, chunks, strict=True) for k, c in zip(ks, cs, strict=True) if k not in memory}
+        memory |= zip(new, enc.encode(list(new.values())), strict=True)
         out, counts = [], []
-        for text in _texts(block) if block.num_rows else []:
-            starts, is_safe, safe = cut(text)
-            chunks = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
-            keys = [_key(c) for c in chunks]
-            new = {k: c for k, c in zip(keys, chunks, strict=True) if k not in memory}
-            memory |= zip(new, enc.encode(list(new.values())), strict=True)
-            ids = np.frombuffer(join_chunks(text, starts, is_safe, safe, [memory[k] for k in keys], enc), enc.dtype)
+        for text, (starts, is_safe, safe), ks in zip(texts, cuts, keys, strict=True):
+            ids = np.frombuffer(join_chunks(text, starts, is_safe, safe, [memory[k] for k in ks], enc), enc.dtype)
             out.append(ids.astype("<u4").tobytes())
             counts.append(len(ids))
         photo = block.column("photo_id") if block.num_rows else pa.array([], block.schema.field("photo_id").type)

@@ -131,8 +131,12 @@ class PieceEncoder:
             a = b
         return np.concatenate(out), counts
 
+    def plain(self, text: bytes) -> bytes:
+        """The ids of one short text by the library itself, without the memory."""
+        return np.array(self.lib.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as bytes of ``dtype``."""
+        """The ids of each text, as bytes of ``dtype``; for many texts at once, as each call merges what it learns."""
         ids, counts = self.encode_bytes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64))
         raw, width = ids.tobytes(), ids.itemsize
         ends = np.cumsum(counts) * width
