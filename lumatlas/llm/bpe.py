@@ -142,7 +142,9 @@ def encode_reports(reports: DataFrame, photo_id: str = "photo_id", summary: str
         of = block.column("block")[0].as_py()
         return pa.table({"chunk": pa.array(list(keys), pa.binary()), "block": pa.array([of] * len(keys), pa.int32())})
 
-    uses = blocks.groupBy("block").applyInArrow(list_chunks, "chunk binary, block int").repartition(partitions(spark), "chunk")
+    # the filter that the join below would add, so that both uses of the list share one exchange
+    listed = blocks.groupBy("block").applyInArrow(list_chunks, "chunk binary, block int").filter("chunk is not null")
+    uses = listed.repartition(partitions(spark), "chunk")
     shared = uses.groupBy("chunk").agg(F.min("block").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("chunk", "owner")
 
     def encode_shared(block: pa.Table, wanted: pa.Table) -> pa.Table:
