@@ -20,9 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 (all without words among them), by the machine fitted on the folder's labels."""
     ship(spark)
-    whole = docs.select(F.struct(*COLUMNS).alias("feedback_id"), F.col("text").alias("comment"))
-    scored = toxicity.score_comments(whole, toxicity_model(spark, sf_dir))
-    return scored.filter("score < 0.5").select("feedback_id.*")
+    scored = toxicity.score_comments(docs, toxicity_model(spark, sf_dir), feedback_id="doc_id", comment="text", carry=("lang", "source", "n_chars"))
+    return scored.filter("score < 0.5").select(F.col("feedback_id").alias("doc_id"), F.col("comment").alias("text"), "carried.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,10 +35,17 @@ def only(df: DataFrame, **names: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, once per application, where PYTHONPATH doesn't already."""
+    """Give this package to the executors' Python, once per application, where PYTHONPATH doesn't already.
+
+    Rows reach Python in batches of ``BATCH_ROWS``, unless the session sets a number itself: texts are long, and Spark's
+    usual 10,000 rows would hold tens of megabytes several times over.
+    """
+    if ROWS not in spark.conf.getAll:
+        spark.conf.set(ROWS, BATCH_ROWS)
     package = Path(__file__).resolve().parents[1]
     app = spark.sparkContext.applicationId
     if app in _SHIPPED or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):

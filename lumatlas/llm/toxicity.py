@@ -307,21 +307,27 @@ def train(feedback: DataFrame, labels: DataFrame, feedback_id: str = "feedback_i
     return fit(rows.comment.tolist(), rows.toxic.to_numpy(int))
 
 
-def score_comments(feedback: DataFrame, model: ToxicityModel, feedback_id: str = "feedback_id", comment: str = "comment") -> DataFrame:
+def score_comments(
+    feedback: DataFrame, model: ToxicityModel, feedback_id: str = "feedback_id", comment: str = "comment", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """``feedback(feedback_id, comment)`` -> ``(feedback_id, score)``, 0 to 1, higher: likelier toxic.
 
     The score of a comment is that of its most toxic window. Null, empty and wordless comments score 0; null and repeated
-    ids stay rows of their own; an empty table gives an empty one; other columns are ignored; the whole text is read. No
-    shuffle; the model (one weight per subsequence, 256 KB) travels with the tasks.
+    ids stay rows of their own; an empty table gives an empty one; other columns are ignored, but with ``carry`` the result
+    also has ``comment`` and a struct ``carried`` of the named columns. The whole text is read. No shuffle; the model (one
+    weight per subsequence, 256 KB) travels with the tasks.
     """
-    r = only(feedback, feedback_id=feedback_id, comment=comment)
+    also = [F.struct(*[feedback[f"`{c}`"].alias(c) for c in carry]).alias("carried")] if carry else []
+    r = feedback.select(feedback[f"`{feedback_id}`"].alias("feedback_id"), feedback[f"`{comment}`"].alias("comment"), *also)
+    names = ["feedback_id", *(["comment", "carried"] if carry else []), "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
             parts = [b.column(1).slice(a, 256).to_pylist() for a in range(0, b.num_rows, 256)]
             top = np.concatenate([scorer.highest([c or "" for c in part]) for part in parts] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.probability(top))], ["feedback_id", "score"])
+            kept = b.columns if carry else b.columns[:1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(model.probability(top))], names)
 
-    kind = r.schema["feedback_id"].dataType.simpleString()
-    return r.mapInArrow(run, f"feedback_id {kind}, score double")
+    kinds = {f.name: f.dataType.simpleString() for f in r.schema.fields} | {"score": "double"}
+    return r.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
