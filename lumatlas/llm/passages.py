@@ -19,7 +19,7 @@ LENGTH, WORD = 50, 16
 LEFT = LENGTH - WORD
 PHRASE = LEFT + LENGTH
 #: Text of a block, text that is parsed at a time within it, and distinct phrases that meet in one task (about).
-BLOCK_BYTES, PART_BYTES, DICTIONARY = 8 << 20, 2 << 20, 1 << 20
+BLOCK_BYTES, PART_BYTES, DICTIONARY = 8 << 20, 1 << 20, 1 << 20
 #: Phrases around one trigger word from which on its strings are dealt out singly.
 FREQUENT = 20_000
 #: A null id comes after all others.

@@ -52,7 +52,7 @@ class PieceEncoder:
     """
 
     #: Bytes that are encoded together.
-    SLICE = 1 << 20
+    SLICE = 1 << 19
 
     def __init__(self, path: str, room: int = 3_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -29,7 +29,7 @@ STAND_IN = 0.02
 #: Part of the toxic comments that a telling window must stand in.
 SUPPORT = 0.02
 #: Words whose score a Python worker remembers.
-ROOM = 500_000
+ROOM = 150_000
 
 _OFFSETS = [(i, i + j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 
@@ -104,8 +104,8 @@ class ToxicityModel:
         for k, w in enumerate(bare):
             by_size.setdefault(len(w), []).append(k)
         for own in by_size.values():
-            for a in range(0, len(own), 8192):
-                at = own[a : a + 8192]
+            for a in range(0, len(own), 1024):
+                at = own[a : a + 1024]
                 cols, weights = subsequences([bare[k] for k in at])
                 value = (self.weight[cols] * weights).sum(1)  # row by row: the same in every batch
                 order = np.argsort(cols, 1)
