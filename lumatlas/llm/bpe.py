@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, partitions
-from .pieces import PieceEncoder, encoder, rolling_hash, tokenizer_path
+from .pieces import PieceEncoder, encoder, give_back, rolling_hash, tokenizer_path
 
 #: Rolling-hash window, mean distance of its triggers, and how far a cut may move on to a space, in bytes.
 WINDOW, MEAN, REACH = 32, 512, 64
@@ -99,6 +99,7 @@ def _key(chunk: bytes) -> bytes:
 def _texts(block: pa.Table) -> list[bytes]:
     import zstandard
 
+    give_back()
     raw = zstandard.ZstdDecompressor()
     return [raw.decompress(t) for t in block.column("packed").to_pylist()]
 

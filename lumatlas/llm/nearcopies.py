@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, only, partitions
 from .components import smallest_reachable
+from .pieces import give_back
 
 #: Rows of a band and bands. Each of ROWS * BANDS / 2 permutations gives its minimum and its maximum. Sets of likeness
 #: 0.8 miss every band with probability (1 - 0.8^6)^42 < 3e-6.
@@ -144,6 +145,7 @@ def near_copies(
                 digest = [_digest(s) for s in sets]
                 cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["photo_id", "n_shingles", "digest", "bands"])
+        give_back()
 
     signed = checkpointed(r.mapInArrow(sign, "photo_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
     usable = signed.filter("n_shingles > 0 and photo_id is not null")
@@ -177,6 +179,7 @@ def near_copies(
     m = m.select("root", "rep", "bands", "shingles", "own", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "bands", "shingles", "own")
 
     def compare(cell: pa.Table) -> pa.Table:
+        give_back()
         sets = [np.frombuffer(s, np.uint64) for s in cell.column("shingles").to_pylist()]
         keys = np.array(cell.column("bands").to_pylist(), np.int64)
         side = cell.column("own").to_numpy() if cell.column("i")[0].as_py() != cell.column("j")[0].as_py() else None

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions
-from .pieces import rolling_hash
+from .pieces import give_back, rolling_hash
 
 #: Bytes of a repeated string; bytes of a trigger word; bytes of a phrase left of its trigger's start, and in all.
 LENGTH, WORD = 50, 16
@@ -252,6 +252,7 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
     def parsed(block: pa.Table) -> Parse:
         import zstandard
 
+        give_back()
         raw = zstandard.ZstdDecompressor()
         ids = np.array([LAST if x is None else x for x in block.column("photo_id").to_pylist()], np.int64)
         return parse(ids, [raw.decompress(t) for t in block.column("packed").to_pylist()], buckets)
@@ -269,6 +270,7 @@ def remove_repeats(reports: DataFrame, photo_id: str = "photo_id", summary: str
 
     def dictionary(bucket: pa.Table) -> pa.Table:
         """Which phrases of each block are older elsewhere (1), first here and rivals of others (2), frequent (4)."""
+        give_back()
         c = {k: bucket.column(k).to_pylist() for k in bucket.column_names}
         sizes = [len(x) // 4 for x in c["word_low"]]
         words = _join(c["word_low"], np.uint32).astype(np.uint64) | _join(c["word_high"], np.uint8).astype(np.uint64) << np.uint64(32)

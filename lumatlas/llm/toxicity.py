@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only
+from .pieces import give_back
 
 #: Kernel: subsequences of three letters within SPAN letters, each letter of the span weighing DECAY.
 SPAN, DECAY = 6, 0.6
@@ -328,6 +329,8 @@ def score_comments(
             top = np.concatenate([scorer.highest([c or "" for c in part]) for part in parts] or [np.zeros(0)])
             kept = b.columns if carry else b.columns[:1]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(model.probability(top))], names)
+        del scorer
+        give_back()
 
     kinds = {f.name: f.dataType.simpleString() for f in r.schema.fields} | {"score": "double"}
     return r.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
