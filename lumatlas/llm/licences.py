@@ -1,4 +1,4 @@
-"""Licence scan of photo notes by a positional index of the rarest licence words."""
+"""Licence scan of photo notes by a positional index of licence words, of which each note's rarest vote."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-#: Rarest words of a template that vote for its place, votes that a place needs, and words a key phrase may be shifted by.
+#: Rarest words of a template in a note that vote for its place, votes that a place needs, and words a key phrase may be shifted by.
 RAREST, VOTES, SLACK = 6, 3, 3
 
 
@@ -59,6 +59,7 @@ NOTICES = (
         "the free software foundation",
         ("gnu general public license",),
     ),
+    Template("gpl", "licensed under the gnu general public license version 3", ("gnu general public license",)),
     Template("cc-by-sa", "this photo is licensed under a creative commons attribution sharealike international license", ("creative commons attribution sharealike",)),
     Template("cc-by-nc", "this photo is licensed under a creative commons attribution noncommercial international license", ("creative commons attribution noncommercial",)),
     Template("cc-by", "this photo is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
@@ -74,52 +75,75 @@ def words_of(note: bytes) -> list[bytes]:
 
 @dataclass
 class LicenceIndex:
-    """Postings of each template's rarest words: word -> (template, place of the word in it)."""
+    """Postings of every word of each template: word -> places of the word in it."""
 
     templates: list[tuple[Template, list[bytes], list[list[bytes]]]]
-    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
-    votes: list[int] = field(default_factory=list)
+    idf: dict[bytes, float]
+    #: The word that finds a base phrase, and the words without which another template cannot stand.
+    gates: list[frozenset[bytes]] = field(default_factory=list)
+    gate_words: frozenset[bytes] = frozenset()
+    postings: list[dict[bytes, list[int]]] = field(default_factory=list)
 
     @staticmethod
     def build(templates: tuple[Template, ...], df: dict[bytes, int], n: int) -> LicenceIndex:
         own = [(t, words_of(t.text.encode()), [words_of(p.encode()) for p in t.key_phrases]) for t in templates]
-        index = LicenceIndex(own)
-        for k, (t, words, _) in enumerate(own):
-            # highest IDF first; a base phrase stands wherever its rarest word does, so one word finds every place
-            by_idf = sorted(range(len(words)), key=lambda i: (-math.log((1 + n) / (1 + df.get(words[i], 0))), i))
-            chosen = by_idf[: 1 if t.base else RAREST]
-            for i in chosen:
-                index.postings[words[i]].append((k, i))
-            index.votes.append(1 if t.base else min(VOTES, len(chosen)))
+        index = LicenceIndex(own, {w: math.log((1 + n) / (1 + df.get(w, 0))) for _, words, _ in own for w in words})
+        for t, words, keys in own:
+            posted = defaultdict(list)
+            for i, w in enumerate(words):
+                posted[w].append(i)
+            index.postings.append(dict(posted))
+            # a base phrase stands wherever its rarest word does, so one word finds every place
+            index.gates.append(frozenset([max(words, key=index.idf.__getitem__)] if t.base else (w for p in keys for w in p)))
+        index.gate_words = frozenset().union(*index.gates)
         return index
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[str, int]], list[tuple[str, int, float]]]:
-        """Places of base phrases, and for each other template its best place and the share of its words found there."""
+        """Places of base phrases, and for each other label its best place and the share of its template's words found there."""
         base: list[tuple[str, int]] = []
-        if self.postings.keys().isdisjoint(words):
+        held = self.gate_words.intersection(words)
+        open_ = [k for k, gate in enumerate(self.gates) if gate <= held]
+        if not open_:
             return base, []
-        places: Counter[tuple[int, int]] = Counter()
+        wanted = {w for k in open_ for w in (self.gates[k] if self.templates[k][0].base else [p[0] for p in self.templates[k][2]])}
+        where: dict[bytes, list[int]] = {w: [] for w in wanted}
         for at, w in enumerate(words):
-            for k, i in self.postings.get(w, ()):
-                places[k, at - i] += 1
-        best: dict[int, tuple[float, int]] = {}
-        for (k, start), votes in places.items():
+            if w in where:
+                where[w].append(at)
+        best: dict[str, tuple[float, int]] = {}
+        for k in open_:
             t, text, keys = self.templates[k]
             if t.base:
-                if start >= 0 and words[start : start + len(text)] == text:
-                    base.append((t.label, start))
+                (word,) = self.gates[k]
+                starts = {at - i for at in where[word] for i in self.postings[k][word]}
+                base += [(t.label, start) for start in starts if start >= 0 and words[start : start + len(text)] == text]
                 continue
+            stands = [[at for at in where[p[0]] if words[at : at + len(p)] == p] for p in keys]
+            fewest = min(range(len(keys)), key=lambda j: len(stands[j]))
+            for at in stands[fewest]:
+                for share, a in self._places(k, words, at, len(keys[fewest])):
+                    best[t.label] = max(best.get(t.label, (0.0, 0)), (share, -a))
+        return sorted(base, key=lambda x: x[1]), sorted((label, -at, share) for label, (share, at) in best.items())
+
+    def _places(self, k: int, words: list[bytes], at: int, size: int) -> Iterator[tuple[float, int]]:
+        """Places of a template around a key phrase of ``size`` words at ``at``, with the share of its words found there."""
+        _, text, keys = self.templates[k]
+        posted = self.postings[k]
+        a, b = max(0, at + size - len(text) - 2 * SLACK), at + len(text) + 2 * SLACK
+        around = words[a:b]
+        # highest IDF first, of the words that the note itself holds here; those of the key phrases are mandatory and always vote
+        chosen = sorted(posted.keys() & set(around), key=lambda w: (-self.idf[w], posted[w][0]))[:RAREST]
+        chosen = self.gates[k].union(chosen)
+        places = Counter(a + j - i for j, w in enumerate(around) if w in chosen for i in posted.get(w, ()))
+        for start in places:
             # words inserted or lost between the rare words move their votes to neighbouring starts
-            near = sum(places.get((k, start + d), 0) for d in range(-SLACK, SLACK + 1))
-            if votes and near >= self.votes[k]:
-                a, b = max(0, start - SLACK), start + len(text) + SLACK
-                window = words[a:b]
-                if all(self._stands(window, p) for p in keys):
-                    there = Counter(window)
-                    share = sum(min(c, there[w]) for w, c in Counter(text).items()) / len(text)
-                    if (share, -a) > best.get(k, (0.0, 0)):
-                        best[k] = (share, -a)
-        return sorted(base, key=lambda x: x[1]), sorted((self.templates[k][0].label, -at, share) for k, (share, at) in best.items())
+            if sum(places.get(start + d, 0) for d in range(-SLACK, SLACK + 1)) < min(VOTES, len(chosen)):
+                continue
+            first = max(0, start - SLACK)
+            window = words[first : start + len(text) + SLACK]
+            if all(self._stands(window, p) for p in keys):
+                there = Counter(window)
+                yield sum(min(c, there[w]) for w, c in Counter(text).items()) / len(text), first
 
     @staticmethod
     def _stands(window: list[bytes], phrase: list[bytes]) -> bool:
@@ -151,9 +175,11 @@ def scan_licences(photos: DataFrame, photo_id: str = "photo_id", note: str = "no
 
     The project records no licences; the operator is general and reads any text as a note. ``base_places`` lists every
     ``(label, at)`` where a base phrase's words stand one after another, ``at`` counting words from 0. ``licences`` lists
-    ``(label, at, share)``: base labels with share 1, and templates found by position: their highest-IDF words vote for
-    the place where the text would start, enough votes at one place (give or take a few words) make a candidate, and its
-    mandatory key phrases must stand there. ``share`` is the part of the template's words found at the best place.
+    ``(label, at, share)``: base labels with share 1, and templates found by position: where a mandatory key phrase
+    stands, the highest-IDF ones of the template's words that the note itself holds around it, and those of the key
+    phrases, vote for the place where the text would start. Enough votes at one place (give or take a few words) make a
+    candidate, and all mandatory key phrases must stand there. ``share`` is the part of the template's words found at the
+    best place; of several templates with one label the best place counts.
 
     IDF comes from all notes. Null notes are empty (0 words, empty lists); null and repeated ids stay rows of their own;
     an empty table gives an empty one; other columns are ignored. Two scans, no shuffle of notes.

@@ -47,6 +47,23 @@ def test_templates_by_position(shipped):
     assert not got[3] and "gpl" not in got[4] and not got[6]
 
 
+def test_corpus_without_full_notices(shipped):
+    """Template words that no note holds take no votes from those that stand there."""
+    short = "This work is licensed under the GNU General Public License, version 3."
+    notes = [
+        (1, short),
+        (2, "The stone bridge near the river. " * 20 + short + " And so on, at noon. " * 20),
+        (3, "Free software of the foundation, you can modify or redistribute this program as published: the GNU General Public License."),
+        (4, "This work is licensed under the General Public GNU License, version 3."),
+        (5, "The license of the general public, a gnu."),
+    ]
+    notes += [(10 + i, "an ordinary note of the river and the license") for i in range(30)]
+    got = {r.photo_id: r.licences for r in licences.scan_licences(shipped.createDataFrame(notes, "photo_id bigint, note string")).collect()}
+    assert [x.label for x in got[1]] == [x.label for x in got[2]] == [x.label for x in got[3]] == ["gpl"]
+    assert got[1][0].share == got[2][0].share == 1 and abs(got[2][0].at - 122) <= licences.SLACK
+    assert not any(got[i] for i in got if i > 3)
+
+
 def test_odd_rows(nasty, nothing):
     got = licences.scan_licences(nasty, note="summary").collect()
     want = sorted((i is None, i or 0, brute(t)[0]) for i, t in pairs(nasty))
