@@ -20,15 +20,13 @@ SPAN, DECAY = 6, 0.6
 #: Letters of a window; longer words are read through overlapping windows.
 LETTERS = 24
 #: Toxic comments that the machine is fitted on at most (and twice as many clean ones), and landmarks of either kind.
-SAMPLE, LANDMARKS = 1500, 128
+SAMPLE, LANDMARKS = 3000, 128
 #: Price of errors against the width of the margin.
 COST = 300.0
 #: How many times likelier a window must be in toxic comments to count as telling.
 TELLING = 20
-#: Weight of a stand-in: it may well be a harmless word.
-STAND_IN = 0.02
-#: Part of the toxic comments that a telling window must stand in.
-SUPPORT = 0.02
+#: Toxic comments that a telling window must stand in at least, however many there are.
+SUPPORT = 3
 #: Words whose score a Python worker remembers.
 ROOM = 150_000
 
@@ -238,7 +236,7 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
         return out
 
     # windows of several toxic comments that clean ones hardly have count in each of them; else the strongest stands in
-    telling = {w for w in hit if hit[w] >= max(3, SUPPORT * n1) and (hit[w] + 0.1) * (n0 + 0.2) >= TELLING * (miss[w] + 0.1) * (n1 + 0.2)}
+    telling = {w for w in hit if hit[w] >= SUPPORT and (hit[w] + 0.1) * (n0 + 0.2) >= TELLING * (miss[w] + 0.1) * (n1 + 0.2)}
 
     def positives(value) -> list[str]:
         out: list[str] = []
@@ -256,7 +254,7 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
         x = z([*pos, *neg])
         y = np.array([1.0] * len(pos) + [-1.0] * len(neg))
         # a window weighs as many comments of its class as it would decide wrongly
-        weight = np.array([*((c if v in telling else STAND_IN * c) / n1 for v, c in pos.items()), *((1 + miss[v]) / n0 for v in neg)])
+        weight = np.array([*(c / n1 for c in pos.values()), *((1 + miss[v]) / n0 for v in neg)])
         w = _machine(x, y, weight, cost=COST)
         model.weight = to_z.astype(float) @ w[:-1]
         every = sorted({p for b in bags for p in b})

@@ -68,6 +68,18 @@ def test_disguises(model):
     assert (model.probability(np.array(insults[:5])) >= 0.5).all() and model.probability(np.array([plain]))[0] < 0.5
 
 
+def test_insult_of_a_small_language():
+    """A language with one in a hundred toxic comments counts like any other, however many labels the others have."""
+    rng = random.Random(8)
+    syllable = ["ka", "zu", "mo", "ri", "pe", "lo", "shu", "ny"]
+    other = lambda *bad: " ".join([*("".join(rng.choice(syllable) for _ in range(rng.randint(2, 4))) for _ in range(20)), *bad])
+    rows = [(t, bad) for _, t, bad in comments(2000, 4)] + [(other(), 0) for _ in range(60)] + [(other("gralvex"), 1) for _ in range(5)]
+    model = tox.fit([t for t, _ in rows], np.array([bad for _, bad in rows]))
+    held = tox.Scorer(model).highest([other("gralvex"), other("Gralvex!"), other("g r a l v e x")] + [other() for _ in range(40)])
+    found = model.probability(held) >= 0.5
+    assert found[:3].all() and found[3:].sum() <= 2
+
+
 def test_memory_is_bounded_and_changes_nothing(model, monkeypatch):
     rows = [r[1] for r in comments(60, 3)]
     whole = tox.Scorer(model).highest(rows)
