@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -223,7 +224,9 @@ def classify(
 
     The model counts byte n-grams in four fifths of the trusted summaries (by a hash of the id); the other fifth sets the
     limits: exact ``low`` and ``high`` quantiles of its perplexities for each language, and over all languages for those
-    without any (null is a language of its own). A report is kept if its perplexity lies within its language's limits: text
+    without any (null is a language of its own). A language with fewer than ``1 / low`` (500) or ``1 / (1 - high)`` (200)
+    such summaries has too few for that quantile; the fewer, the more its limit is drawn outwards to the limit over all
+    languages, or to that limit's distance from the median laid at the language's own median. A report is kept if its perplexity lies within its language's limits: text
     that no trusted one resembles lies above, endless repetition below.
 
     Empty and null summaries have no perplexity and are not kept; without trusted summaries all others are kept. Null and
@@ -247,13 +250,24 @@ def classify(
         part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         upto = F.sum("n").over(part.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         b = b.select(*by, "bin", upto.alias("upto"), F.sum("n").over(part).alias("all"))
-        ends = [F.exp((F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("bin"))) + k) * STEP).alias(name) for q, k, name in ((low, 0, "low"), (high, 1, "high"))]
-        return b.groupBy(*by).agg(*ends)
-
-    own = limits(bins, ["lang"]).select(F.col("lang").alias("of"), "low", "high")
-    every = limits(bins.groupBy("bin").agg(F.sum("n").alias("n")), []).select(F.col("low").alias("low_all"), F.col("high").alias("high_all")).first()
+        ends = [
+            ((F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("bin"))) + k) * STEP).alias(name) for q, k, name in ((low, 0, "low"), (0.5, 0.5, "mid"), (high, 1, "high"))
+        ]
+        return b.groupBy(*by).agg(*ends, F.max("all").alias("rows"))
+
+    every = limits(bins.groupBy("bin").agg(F.sum("n").alias("n")), []).first()
+    own = limits(bins, ["lang"])
+    if every["rows"]:
+        # too few rows for a quantile: the wider of all languages' limit and its distance from their middle, laid at the language's own
+        ends = []
+        for end, tail, wider in (("low", low, F.least), ("high", 1 - high, F.greatest)):
+            sure = F.least(F.lit(1.0), F.col("rows") * tail)
+            lent = wider(F.lit(every[end]), F.col("mid") + F.lit(every[end] - every["mid"]))
+            ends.append(F.exp(sure * F.col(end) + (1 - sure) * wider(F.col(end), lent)).alias(end))
+        own = own.select("lang", *ends)
+    own = own.select(F.col("lang").alias("of"), "low", "high")
     out = scored.join(own, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
-    bounds = {k: F.coalesce(k, F.lit(every[f"{k}_all"] if every else None).cast("double")) for k in ("low", "high")}
+    bounds = {k: F.coalesce(k, F.lit(math.exp(every[k]) if every["rows"] else None).cast("double")) for k in ("low", "high")}
     out = out.withColumns(bounds)
     within = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select("photo_id", "lang", "n_bytes", "perplexity", "low", "high", within.alias("kept"))

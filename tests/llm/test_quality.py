@@ -78,3 +78,23 @@ def test_junk_is_rejected_and_clean_text_kept(shipped, nothing):
     empty = df.limit(0)
     assert quality.classify(empty, trusted).count() == 0
     assert {r.kept for r in quality.classify(df.filter("photo_id < 20"), trusted.limit(0)).collect()} == {True}
+
+
+def test_languages_with_few_trusted_summaries(shipped):
+    """One to five held-out summaries are too few for quantiles; clean text of such a language is kept all the same."""
+    rng = random.Random(9)
+    en, own = ["the", "stone", "bridge", "near", "river", "at", "noon"], ["und", "brücke", "straße", "der", "bei", "mittag"]
+    clean = lambda w: " ".join(rng.choice(w) for _ in range(60))
+    rows, trusted = [(i, clean(en), "en") for i in range(500)], list(range(500))
+    ids = {held: [r.id for r in shipped.range(1000, 1200).filter(F.pmod(F.xxhash64("id"), F.lit(5)).isin([0] if held else [1, 2, 3, 4])).collect()] for held in (True, False)}
+    for lang, n, words in (("a1", 1, en), ("a2", 2, en), ("a5", 5, en), ("b1", 1, own), ("b5", 5, own)):
+        known = [ids[True].pop() for _ in range(n)] + [ids[False].pop() for _ in range(4 * n)]
+        rows += [(i, clean(words), lang) for i in known]
+        trusted += known
+        at = 2000 + len(rows)
+        rows += [(at + i, clean(words), lang) for i in range(40)]
+        rows += [(10 * at + i, "".join(rng.choice("#$%&*+=@^~|<>[]") for _ in range(200)), lang) for i in range(3)]
+    df = shipped.createDataFrame(rows, "photo_id bigint, summary string, lang string")
+    got = quality.classify(df, shipped.createDataFrame([(i,) for i in trusted], "photo_id bigint")).collect()
+    kept = Counter((r.lang, r.photo_id >= 10_000) for r in got if r.kept and r.photo_id >= 2000)
+    assert all(kept[lang, False] >= 37 and not kept[lang, True] for lang in ("a1", "a2", "a5", "b1", "b5")), kept
