@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import let, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -197,3 +197,89 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("photo_id"), F.col("text").alias("summary"), "lang")
     trusted = table(spark, folder, "labels").filter("quality = 1").select(F.col("doc_id").alias("photo_id"))
     return classify(texts, trusted).withColumnRenamed("photo_id", "doc_id")
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from .variants import read_words, spelling_variants
+
+    def damaged(w: Column) -> Column:
+        h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), w).cast("binary"))
+        at = (h % F.char_length(w)).cast("int")
+        return F.when(h % 31 == 0, F.concat(F.substr(w, F.lit(1), at), F.substr(w, at + 2, F.char_length(w)))).otherwise(w)
+
+    read = F.array_join(F.transform(read_words(F.col("text")), damaged), " ")
+    return spelling_variants(table(spark, folder, "documents").select(F.col("doc_id").alias("photo_id"), read.alias("text")))
+
+
+def op12_oracle() -> str:
+    from .blobs import BASE, RULES
+
+    parts = []
+    for rank, (kind, _, pattern, group, least) in enumerate(RULES):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"""select doc_id, '{kind}' as kind, {rank} as rank, unnest(range(1, len(h) + 1)) as i, unnest(list_transform(h, lambda x: length(x))) as n,
+ unnest(list_transform(g[1:len(h)], lambda x: length(x))) as gap, unnest(list_transform(c, lambda x: length(x) >= {least})) as ok
+ from (select doc_id, regexp_extract_all(t, {p}, 0) as h, string_split_regex(t, {p}) as g, regexp_extract_all(t, {p}, {group}) as c from d where regexp_matches(t, {p}))"""
+        )
+    base = ", ".join(f"'{k}'" for k in BASE)
+    one = "kind || ':' || b - n || ':' || b"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(parts)}),
+e as (select *, cast(sum(gap + n) over (partition by doc_id, kind order by i) as bigint) as b from m),
+s as (select *, b - n as a from e where ok)
+select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+ sha256(coalesce(string_agg({one}, ',' order by a, rank) filter (kind in ({base})), '')) as base_sha256,
+ coalesce(string_agg({one}, ',' order by a, rank), '') as spans
+from d left join s on d.doc_id = s.doc_id group by d.doc_id"""
+
+
+@query("op12_secret_scan", op12_oracle())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from .blobs import BASE, scan_changes
+
+    notes = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("photo_id"), F.lit(0).alias("seq"), F.lit("note").alias("field"), F.col("text").alias("value")
+    )
+    r = scan_changes(notes)
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def spans(found: Column) -> Column:
+        return F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+
+    base = F.filter("found", lambda f: f["kind"].isin(*BASE))
+    return r.select(F.col("photo_id").alias("doc_id"), *[number(k) for k in BASE], F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("found")).alias("spans"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from .loops import summary_loops
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def looping(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    summary = F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, looping(w)))).otherwise(F.col("text"))
+    r = summary_loops(table(spark, folder, "documents").select(F.col("doc_id").alias("photo_id"), summary.alias("summary")))
+    best = F.array_max(F.transform("loops", lambda x: F.struct((x["length"] / x["period"]).alias("exponent"), (-x["start"]).alias("s"), (-x["period"]).alias("p"), x["length"].alias("n"))))
+    lines = F.transform("loops", lambda x: F.concat(F.concat_ws(",", *[x[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n")))
+    return r.withColumn("best", best).select(
+        F.col("photo_id").alias("doc_id"),
+        F.size("loops").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.n").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("(1000 * best.n) div -best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
