@@ -282,6 +282,13 @@ def test_ivf_recall_and_exact_knn(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(int(i), int(j)) for i in range(0, 480, 40) for j in np.argsort(-(u @ u[i]))[:5]}
     assert exact == want
+    # many blocks and slices give the same answer as one
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieval, "SIDE_BYTES", 8 * 16 * 10)
+        assert {(r["query_id"], r["vec_id"]) for r in retrieval.knn(q, ix, k=5).collect()} == want
+        small = {(r["query_id"], r["vec_id"]) for r in retrieval.IvfIndex(ix, lists=8).search(q, k=5, probes=2).collect()}
+        assert len(small & exact) >= 0.9 * len(exact)
+    assert retrieval.knn(q.limit(0), ix, k=5).collect() == [] == retrieval.knn(q, ix.limit(0), k=5).collect()
     near = {(r["query_id"], r["vec_id"]) for r in retrieval.IvfIndex(ix, lists=8).search(q, k=5, probes=2).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
 
