@@ -64,6 +64,73 @@ def test_corpus_without_full_notices(shipped):
     assert not any(got[i] for i in got if i > 3)
 
 
+def by_hand(words, df, n, templates=licences.BASE + licences.NOTICES):
+    """Labels by trying every start of every template: enough of the note's rarest telling words near their places, all phrases there."""
+    found = {}
+    for t in templates:
+        text = t.text.split()
+        if t.base:
+            if any(words[i : i + len(text)] == text for i in range(len(words))):
+                found[t.label] = t
+            continue
+        mandatory = {w for p in t.key_phrases for w in p.split()}
+        rank = lambda w: (df[w], text.index(w))
+        known = sorted((w for w in set(text) - mandatory if df.get(w)), key=rank)
+        telling = [w for w in known if df[w] <= df[known[len(known) // 2]]] if known else []
+        own = sorted((w for w in telling if w in words), key=lambda w: (df[w], w))[: licences.RAREST]
+        if not telling or len(own) < min(licences.VOTES, len(telling)):
+            continue
+        for start in range(-len(text), len(words)):
+            near = [w for w in own if any(w in words[max(0, start + i - licences.SLACK) : max(0, start + i + licences.SLACK + 1)] for i, x in enumerate(text) if x == w)]
+            window = " ".join(words[max(0, start - licences.SLACK) : max(0, start + len(text) + licences.SLACK)])
+            exact = any(start == at - i for w in own for at, x in enumerate(words) if x == w for i, y in enumerate(text) if y == w)
+            if exact and len(near) >= min(licences.VOTES, len(telling)) and all(f" {p} " in f" {window} " for p in t.key_phrases):
+                found[t.label] = t
+                break
+    return set(found) - {t.wider for t in found.values()}
+
+
+def test_labels_equal_a_search_of_every_start(shipped):
+    rng = random.Random(5)
+    vocabulary = sorted({w for t in licences.NOTICES for w in t.text.split()})
+    notes = []
+    for i in range(160):
+        words = [rng.choice([*vocabulary, "river", "stone"]) for _ in range(rng.randint(0, 40))]
+        for t in rng.sample(licences.NOTICES, rng.randint(0, 2)):
+            text = [w for w in t.text.split() if rng.random() > rng.choice([0, 0, 0.05, 0.3])]
+            at = rng.randint(0, len(words))
+            words[at:at] = text
+        notes.append((i, " ".join(words)))
+    df = {}
+    for _, note in notes:
+        for w in set(note.split()):
+            df[w] = df.get(w, 0) + 1
+    got = {r.photo_id: {x.label for x in r.licences} for r in licences.scan_licences(shipped.createDataFrame(notes, "photo_id bigint, note string")).collect()}
+    assert got == {i: by_hand(note.split(), df, len(notes)) for i, note in notes}
+    assert sum(map(len, got.values())) > 100 and len(set().union(*got.values())) > 18
+
+
+def test_every_licence_is_told_from_the_others(shipped):
+    notes = [(i, f"intro {t.text} outro") for i, t in enumerate(licences.NOTICES)]
+    got = {r.photo_id: {x.label for x in r.licences} for r in licences.scan_licences(shipped.createDataFrame(notes, "photo_id bigint, note string")).collect()}
+    assert len({t.label for t in licences.NOTICES}) >= 24
+    for i, t in enumerate(licences.NOTICES):
+        assert t.label in got[i] and got[i] <= {t.label, "apache-2"}, (t.label, got[i])
+
+
+def test_rare_words_find_and_phrases_only_verify():
+    df = {w: 3 for t in licences.NOTICES for w in t.text.split()}
+    df = {w.encode(): n for w, n in df.items()}
+    index = licences.LicenceIndex.build(licences.BASE + licences.NOTICES, df, 1000)
+    for t in licences.NOTICES:
+        words = licences.words_of(t.text.encode())
+        assert t.label in {x[0] for x in index.scan(words)[1]}
+        phrases = licences.words_of(" and ".join(t.key_phrases).encode())
+        assert not index.scan(phrases)[1], "a phrase without its surroundings is no licence"
+    index.postings.clear()
+    assert not any(index.scan(licences.words_of(t.text.encode()))[1] for t in licences.NOTICES), "without its rare words nothing is found"
+
+
 def test_odd_rows(nasty, nothing):
     got = licences.scan_licences(nasty, note="summary").collect()
     want = sorted((i is None, i or 0, brute(t)[0]) for i, t in pairs(nasty))
