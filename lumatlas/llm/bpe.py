@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, partitions
-from .pieces import PieceEncoder, encoder, give_back, rolling_hash, tokenizer_path
+from .pieces import PieceEncoder, encoder, give_back, rolling_hash, splits_like_byte_level, tokenizer_path
 
 #: Rolling-hash window, mean distance of its triggers, and how far a cut may move on to a space, in bytes.
 WINDOW, MEAN, REACH = 32, 512, 64
@@ -26,12 +26,14 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data[1:] == 0x20) & (data[:-1] > 0x20) & (data[:-1] < 0x7F)) + 1
 
 
-def cut(text: bytes) -> tuple[list[int], list[bool], np.ndarray]:
-    """Chunk starts of a text, whether each start is a safe cut, and all safe positions.
+def cut(text: bytes, whole: bool = False) -> tuple[list[int], list[bool], np.ndarray]:
+    """Chunk starts of a text, whether each start is a safe cut, and all safe positions; ``whole``: one chunk.
 
     A trigger (window hash 0 modulo ``MEAN``) moves on to the next safe space within ``REACH`` bytes; otherwise it cuts
     where it stands, at the next character.
     """
+    if whole:
+        return [0], [True], np.zeros(0, np.int64)
     data = np.frombuffer(text, np.uint8)
     safe = safe_cuts(data)
     triggers = np.flatnonzero(rolling_hash(data, WINDOW) % np.uint32(MEAN) == 0) + WINDOW
@@ -110,7 +112,8 @@ def encode_reports(reports: DataFrame, photo_id: str = "photo_id", summary: str
     Equal to the tokenizers library's encoding of each whole summary without added special tokens. Summaries are cut into
     chunks by a rolling hash. A chunk that occurs in several blocks of reports is encoded in one of them and its ids are
     joined to the others; within a block every chunk is encoded once. Joins of chunks that could change a token are
-    repaired (``join_chunks``).
+    repaired (``join_chunks``). A ``tokenizer`` file that doesn't split texts by the byte-level pattern gets whole texts as
+    chunks: where a cut is safe isn't known.
 
     Null summaries are empty and have no ids; null and repeated ids stay rows of their own; an empty table gives an empty
     one; other columns are ignored; a text of any length is only ever split into chunks. A frequent chunk counts once per
@@ -118,6 +121,7 @@ def encode_reports(reports: DataFrame, photo_id: str = "photo_id", summary: str
     """
     spark = reports.sparkSession
     path = tokenizer or tokenizer_path()
+    whole = not splits_like_byte_level(path)
     r = only(reports, photo_id=photo_id, summary=summary).withColumn("summary", F.coalesce("summary", F.lit("")).cast("binary"))
     n_bytes = r.agg(F.sum(F.length("summary"))).first()[0] or 0
     n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
@@ -138,7 +142,7 @@ def encode_reports(reports: DataFrame, photo_id: str = "photo_id", summary: str
     def list_chunks(block: pa.Table) -> pa.Table:
         keys = set()
         for text in _texts(block):
-            starts, _, _ = cut(text)
+            starts, _, _ = cut(text, whole)
             keys.update(_key(text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)], strict=True))
         of = block.column("block")[0].as_py()
         return pa.table({"chunk": pa.array(list(keys), pa.binary()), "block": pa.array([of] * len(keys), pa.int32())})
@@ -152,7 +156,7 @@ def encode_reports(reports: DataFrame, photo_id: str = "photo_id", summary: str
         missing = set(wanted.column("chunk").to_pylist())
         found = {}
         for text in _texts(block) if missing else []:
-            starts, _, _ = cut(text)
+            starts, _, _ = cut(text, whole)
             for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
                 key = _key(text[a:b])
                 if key in missing:
@@ -168,7 +172,7 @@ def encode_reports(reports: DataFrame, photo_id: str = "photo_id", summary: str
         enc = encoder(path)
         memory = dict(zip(known.column("chunk").to_pylist(), known.column("ids").to_pylist(), strict=True))
         texts = _texts(block) if block.num_rows else []
-        cuts = [cut(text) for text in texts]
+        cuts = [cut(text, whole) for text in texts]
         chunks = [[t[a:b] for a, b in zip(starts, [*starts[1:], len(t)], strict=True)] for t, (starts, _, _) in zip(texts, cuts, strict=True)]
         keys = [[_key(c) for c in own] for own in chunks]
         new = {k: c for ks, cs in zip(keys, chunks, strict=True) for k, c in zip(ks, cs, strict=True) if k not in memory}

@@ -58,17 +58,33 @@ def piece_cuts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def splits_like_byte_level(path: str) -> bool:
+    """If the file's tokenizer reads texts as they are and splits them by the byte-level pattern, as ``piece_cuts`` presumes."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = spec.get("pre_tokenizer") or {}
+    plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+    ordinary = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
+    return bool(plain and spec.get("normalizer") is None and ordinary and not any(set(" \n.,!?;:") & set(t["content"]) for t in spec.get("added_tokens", [])))
+
+
 class PieceEncoder:
     """The tokenizers library behind a memory of text pieces: each piece is encoded by the library once per memory fill.
 
-    Texts are cut where that never changes the result (``piece_cuts``). Pieces are told apart by 64-bit hashes. When the
-    memory is full it starts anew, so its size is bounded (about 25 bytes a piece).
+    Texts are cut where that never changes the result (``piece_cuts``); for a tokenizer that doesn't split texts as the
+    byte-level one does, they stay whole. Pieces of up to ``SHORT`` bytes are looked up by a 64-bit hash, and what the
+    memory holds is compared with the text byte by byte; where they differ, and for longer pieces, the library is asked. When
+    the memory is full it starts anew, so its size is bounded (about 45 bytes a piece).
     """
 
     #: Bytes that are encoded together.
     SLICE = 1 << 19
+    #: Bytes of a piece that the memory takes.
+    SHORT = 64
 
-    def __init__(self, path: str, room: int = 3_000_000) -> None:
+    def __init__(self, path: str, room: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,62 +93,91 @@ class PieceEncoder:
         self.lib.no_padding()
         self.dtype = np.uint16 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.room = room
+        self.splits = splits_like_byte_level(path)
         rng = np.random.default_rng(4711)
         self.letter = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.place = rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.place = rng.integers(0, 1 << 63, self.SHORT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self._forget()
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, self.dtype)
+        self.spelled, self.size, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        sizes = np.diff(np.append(starts, len(data)))
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         rel = np.arange(len(data)) - np.repeat(starts, sizes)
-        if sizes.max() > len(self.place):  # powers of an odd number go on for as long as a piece is
-            more = np.full(sizes.max() - len(self.place), 0x9E3779B97F4A7C15, np.uint64)
-            self.place = np.concatenate([self.place, np.cumprod(np.concatenate([self.place[-1:], more]))[1:]])
-        h = np.add.reduceat(self.letter[data] * self.place[rel], starts)
+        h = np.add.reduceat(self.letter[data] * self.place[np.minimum(rel, self.SHORT - 1)], starts)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _by_library(self, pieces: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.lib.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encode pieces by the library and remember them; keys are sorted and new."""
-        ids = [e.ids for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
+        ids = self._by_library(pieces)
         count = np.fromiter(map(len, ids), np.int32, len(ids))
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
         flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(count.sum()))
         start = len(self.pool) + np.cumsum(count, dtype=np.int64) - count
+        spelled = len(self.letters) + np.cumsum(size, dtype=np.int64) - size
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.start, self.count = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.start, start), (self.count, count)))
+        old = (self.keys, self.start, self.count, self.spelled, self.size)
+        self.keys, self.start, self.count, self.spelled, self.size = (np.insert(a, at, b) for a, b in zip(old, (keys, start, count, spelled, size), strict=True))
         self.pool = np.concatenate([self.pool, flat])
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(pieces), np.uint8)])
 
     def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of pieces, and how many each has."""
-        distinct, first, back = np.unique(self._hashes(data, starts), return_index=True, return_inverse=True)
+        ends = np.append(starts, len(data))
+        sizes = np.diff(ends)
+        distinct, first, back = np.unique(self._hashes(data, starts, sizes), return_index=True, return_inverse=True)
         if len(self.keys) > self.room:
             self._forget()
         at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
         new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        new &= sizes[first] <= self.SHORT
+        raw = data.tobytes()
         if new.any():
-            ends = np.append(starts, len(data))
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[starts[k] : ends[k + 1]].decode() for k in first[new].tolist()])
-            at = np.searchsorted(self.keys, distinct)
+            self._learn(distinct[new], [raw[starts[k] : ends[k + 1]] for k in first[new].tolist()])
+            at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        if not len(self.keys):
+            return self._around(raw, starts, ends, np.zeros(len(starts), bool), np.zeros(len(starts), np.int64))
         at = at[back]
+        same = self.size[at] == sizes
+        # the bytes the memory holds, against those of the text
+        n = np.where(same, sizes, 0)
+        stops = np.cumsum(n, dtype=np.int64)
+        step = np.arange(stops[-1])
+        own = np.repeat(starts - stops + n, n) + step
+        held = np.repeat(self.spelled[at] - stops + n, n) + step
+        wrong = np.repeat(np.arange(len(starts)), n)[self.letters[held] != data[own]]
+        same[wrong] = False
+        if not same.all():
+            return self._around(raw, starts, ends, same, at)
         count = self.count[at]
-        ends = np.cumsum(count, dtype=np.int64)
-        place = np.repeat(self.start[at] - ends + count, count) + np.arange(ends[-1])
+        stops = np.cumsum(count, dtype=np.int64)
+        place = np.repeat(self.start[at] - stops + count, count) + np.arange(stops[-1])
         return self.pool[place], count
 
+    def _around(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, same: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where the memory doesn't hold some pieces: those are encoded by the library, each different one once."""
+        others = [raw[starts[k] : ends[k + 1]] for k in np.flatnonzero(~same).tolist()]
+        distinct = list(dict.fromkeys(others))
+        known = {p: np.array(i, self.dtype) for p, i in zip(distinct, self._by_library(distinct), strict=True)}
+        rest = iter(others)
+        parts = [self.pool[self.start[k] : self.start[k] + self.count[k]] if ok else known[next(rest)] for ok, k in zip(same.tolist(), at.tolist(), strict=True)]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
     def encode_bytes(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 texts one after another -> all ids, and how many each text has."""
         starts = np.append(0, ends[:-1]) if len(ends) else ends
         counts = np.zeros(len(ends), np.int64)
         if not len(data):
             return np.zeros(0, self.dtype), counts
-        cut = piece_cuts(data)
+        cut = piece_cuts(data) if self.splits else np.zeros(len(data), bool)
         cut[starts[starts < len(data)]] = True
         cuts = np.flatnonzero(cut)
         out, a = [], 0

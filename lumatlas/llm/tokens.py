@@ -32,7 +32,7 @@ def encoded(reports: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            text = batch.column(1)
+            text = batch.column(1).cast(pa.string())
             ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
             flat, counts = enc.encode_bytes(data, ends[1:] - ends[0])
@@ -54,7 +54,7 @@ def write_token_files(
     """Write ``reports(photo_id, summary)`` as token files under ``path``, in ascending id order over the files.
 
     Null summaries are empty; each report ends with ``end_id`` unless that is None. Null ids come first, equal ids in the
-    order of their texts. An empty table makes files without rows. Other columns are ignored. The texts, not the larger
+    order of their texts. A ``tokenizer`` file that doesn't split texts by the byte-level pattern encodes whole texts. An empty table makes files without rows. Other columns are ignored. The texts, not the larger
     ids, are shuffled, once, into id ranges; no task holds more than an Arrow batch of ids.
     """
     r = only(reports, photo_id=photo_id, summary=summary)
@@ -93,7 +93,8 @@ def token_starts(spark: SparkSession, path: str) -> DataFrame:
     r = r.mapInArrow(check, "file string, at bigint, photo_id bigint, n_tokens bigint, ids_crc32 bigint")
     # the sums need the counts only, not the ids
     sums = spark.read.schema("n_tokens bigint").parquet(path).groupBy(F.col("_metadata.file_name").alias("of")).agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    number = F.regexp_extract("of", r"part-(\d+)", 1).cast("bigint")  # as text, part-100000 would come before part-99999
+    before = Window.orderBy(number, "of").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     sums = sums.select("of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     r = r.join(sums, F.col("file") == F.col("of"))
     within = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
