@@ -14,9 +14,12 @@ from .common import checkpointed, only, partitions
 from .components import smallest_reachable
 from .pieces import give_back
 
-#: Rows of a band and bands. Each of ROWS * BANDS / 2 permutations gives its minimum and its maximum. Sets of likeness
-#: 0.8 miss every band with probability (1 - 0.8^6)^42 < 3e-6.
+#: Rows of a band and bands. Each of ROWS * BANDS / 2 permutations gives its minimum and its maximum. For sets of likeness
+#: 0.8 both ends of a permutation agree with a probability of 0.64, less for small sets (3/5 for four shingles of five): a pair
+#: of sets, one of more than SMALL shingles, misses every band with probability (1 - 0.63^3)^42 < 6e-6.
 ROWS, BANDS = 6, 42
+#: Sets of up to this many shingles also meet by their rarest shingles, and so for certain.
+SMALL = 40
 #: Sets that are compared in one task at most, twice this many where two slices of a large cluster meet.
 SLICE = 2048
 
@@ -63,7 +66,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return (keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
 
 
-def set_links(ids: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def set_links(ids: np.ndarray, sets: list[np.ndarray], keys: list[list[int]], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Links that connect everything the true links among these sets connect, found exactly.
 
     Only sets that share a band key are compared, and (with ``side``) only those of different sides. A set is compared at
@@ -80,7 +83,7 @@ def set_links(ids: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, side: n
         return i
 
     mates: dict[int, list[int]] = defaultdict(list)
-    for i, row in enumerate(keys.tolist()):
+    for i, row in enumerate(keys):
         for k in row:
             mates[k].append(i)
     groups = [g for g in mates.values() if len(g) > 1]
@@ -112,8 +115,21 @@ def set_links(ids: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, side: n
     return links
 
 
+def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets(node, few)`` of shingle hashes -> ``(node, rare)``: the rarest shingles of each set, one more than it may lack.
+
+    Of linked sets each holds at least ``percent`` in a hundred of the other's shingles, so that, all sets taking theirs in
+    the same order, they share one of these. The order goes by how many sets hold a shingle.
+    """
+    one = sets.select("node", F.size("few").alias("n"), F.explode("few").alias("g"))
+    counts = one.groupBy("g").agg(F.count(F.lit(1)).alias("held"))
+    ranked = one.join(counts, "g").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("held", "g"))).alias("all"))  # SMALL at most
+    lacks = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    return ranked.select("node", F.transform(F.slice("all", F.lit(1), (lacks + 1).cast("int")), lambda x: F.xxhash64(x["g"], F.lit("rare"))).alias("rare"))
+
+
 def near_copies(
-    reports: DataFrame, photo_id: str = "photo_id", summary: str = "summary", words: int = 5, percent: int = 80, order: str | None = None
+    reports: DataFrame, photo_id: str = "photo_id", summary: str = "summary", words: int = 5, percent: int = 80
 ) -> DataFrame:
     """``reports(photo_id, summary)`` -> ``(photo_id, n_shingles, component_id, kept)``.
 
@@ -125,7 +141,8 @@ def near_copies(
 
     1. Min-max hashing: every permutation gives a minimum and a maximum; band keys are made of both.
     2. Equal sets collapse to their smallest id, by aggregation; only representatives go on.
-    3. Representatives that share a band key form candidate clusters (components over a star per key).
+    3. Representatives that share a band key form candidate clusters (components over a star per key). Small sets have
+       further keys, their rarest shingles (``rare_keys``), by which linked ones always meet.
     4. A cluster meets in one task, a large one slice by slice so that every pair of slices meets once; there full sets
        are compared (``set_links``). Nothing is capped, and a cluster of any size is finished exactly.
     5. Components over the confirmed links.
@@ -143,24 +160,31 @@ def near_copies(
                 keys = iter(signatures(full)) if full else iter(())
                 bands = [next(keys).tolist() if len(s) else [] for s in sets]
                 digest = [_digest(s) for s in sets]
-                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["photo_id", "n_shingles", "digest", "bands"])
+                few = [s.view(np.int64).tolist() if 0 < len(s) <= SMALL else None for s in sets]
+                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, long_list), pa.array(few, long_list)]
+                yield pa.RecordBatch.from_arrays(cols, ["photo_id", "n_shingles", "digest", "bands", "few"])
         give_back()
 
-    signed = checkpointed(r.mapInArrow(sign, "photo_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
+    long_list = pa.list_(pa.int64())
+    signed = checkpointed(r.mapInArrow(sign, "photo_id bigint, n_shingles bigint, digest binary, bands array<bigint>, few array<bigint>"))
     usable = signed.filter("n_shingles > 0 and photo_id is not null")
     # an id's rows with different texts are one node: each of its sets stands under the id
-    classes = checkpointed(usable.groupBy("digest").agg(F.min("photo_id").alias("rep"), F.first("bands").alias("bands")))
-    keyed = classes.select("digest", "rep", F.explode("bands").alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min(F.struct("rep", "digest")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    classes = usable.groupBy("digest").agg(F.min("photo_id").alias("rep"), F.first("bands").alias("bands"), F.first("few").alias("few"))
     # nodes of the candidate graph are sets; a set's number is the hash of its digest
-    node = F.xxhash64("digest")
-    stars = keyed.join(hubs, "band").select(node.alias("a"), F.xxhash64("hub.digest").alias("b")).filter("a <> b").distinct()
+    classes = checkpointed(classes.withColumn("node", F.xxhash64("digest")))
+    rare = checkpointed(rare_keys(classes.filter("few is not null").select("node", "few"), percent))
+    keyed = classes.select("node", F.explode("bands").alias("band")).unionByName(rare.select("node", F.explode("rare").alias("band")))
+    # the narrowest rows that do: there are BANDS of them for each set
+    hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("band", "hub")
+    stars = keyed.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = checkpointed(smallest_reachable(stars))
-    members = clusters.join(classes.select(node.alias("node"), "digest", "rep", "bands"), "node")
-    # one text for each set: the row with the smallest id
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n_sets")).withColumnRenamed("root", "of")
-    members = checkpointed(members.join(sizes, F.col("root") == F.col("of")).select("root", "n_sets", "digest", "rep", "bands"))
+    own_keys = F.concat("bands", F.coalesce("rare", F.array().cast("array<bigint>"))).alias("bands")
+    members = clusters.join(sizes, F.col("root") == F.col("of")).select(F.col("node").alias("member"), "root", "n_sets")
+    members = members.join(classes, F.col("member") == F.col("node")).drop("node", "few")
+    members = members.join(rare, F.col("member") == F.col("node"), "left").select("root", "n_sets", "digest", "rep", own_keys)
+    # one text for each set: the row with the smallest id
+    members = checkpointed(members)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +205,7 @@ def near_copies(
     def compare(cell: pa.Table) -> pa.Table:
         give_back()
         sets = [np.frombuffer(s, np.uint64) for s in cell.column("shingles").to_pylist()]
-        keys = np.array(cell.column("bands").to_pylist(), np.int64)
+        keys = cell.column("bands").to_pylist()
         side = cell.column("own").to_numpy() if cell.column("i")[0].as_py() != cell.column("j")[0].as_py() else None
         links = set_links(cell.column("rep").to_numpy(), sets, keys, side, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})

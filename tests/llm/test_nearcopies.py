@@ -66,6 +66,31 @@ def test_groups_equal_all_pairs(shipped, monkeypatch, words, most):
     assert result(shipped.createDataFrame(rows, "photo_id bigint, summary string").repartition(4), words=words) == brute(rows, words)
 
 
+def test_small_sets_meet_for_certain(shipped):
+    """Small linked sets share one of their rarest shingles, whatever their bands."""
+    rng = random.Random(13)
+    free = lambda n: [f"v{rng.randint(0, 40)}" for _ in range(n)]
+    rows = []
+    for k in range(120):
+        base = free(rng.randint(2, 36))
+        rows.append((3 * k, " ".join(base)))
+        own = list(base)
+        own[rng.randrange(len(own))] = "odd"
+        rows += [(3 * k + 1, " ".join(own)), (3 * k + 2, " ".join(base + ["more"]))]
+    df = shipped.createDataFrame(rows, "photo_id bigint, summary string").repartition(4)
+    assert result(df, words=2) == brute(rows, 2)
+    few = [(i, sorted(hash(g) for g in s)) for i, s in sets(rows, 2)]
+    keys = {r.node: set(r.rare) for r in nearcopies.rare_keys(shipped.createDataFrame(few, "node bigint, few array<bigint>"), 80).collect()}
+    linked = 0
+    for n, (i, a) in enumerate(few):
+        for j, b in few[:n]:
+            common = len(set(a) & set(b))
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                linked += 1
+                assert keys[i] & keys[j]
+    assert linked > 100
+
+
 def test_odd_rows(nasty, nothing):
     rows = pairs(nasty)
     # an id that stands for several texts is one node
