@@ -173,9 +173,14 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, step
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        xa, ca = x[active], cost * weight[active]
-        new = np.linalg.solve(ridge + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ y[active])
+        active = np.flatnonzero(y * (x @ w) < 1)
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        for a in range(0, len(active), 1024):  # slice by slice: the rows in use are never copied as a whole
+            at = active[a : a + 1024]
+            xa, ca = x[at].astype(float), cost * weight[at]
+            left += (xa * ca[:, None]).T @ xa
+            right += xa.T @ (ca * y[at])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -214,24 +219,26 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
     common = sorted(miss, key=lambda w: (-miss[w], w))
     chosen = ranked[:landmarks] + common[: landmarks // 2] + [others[i] for i in rng.permutation(len(others))[: landmarks // 2]]
     chosen = sorted(set(chosen))
-    space = np.zeros((len(chosen), 1 << 15), np.float32)
-    for k, w in enumerate(chosen):
-        for u, v in features(w).items():
-            space[k, u] = v
+    marks = [features(w) for w in chosen]
+    used = sorted(set().union(*marks))  # only subsequences of some landmark matter
+    column = {u: i for i, u in enumerate(used)}
+    space = np.zeros((len(chosen), len(used)), np.float32)
+    for k, f in enumerate(marks):
+        space[k, [column[u] for u in f]] = list(f.values())
     gram = (space @ space.T).astype(float)
     values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nystrom: z(w) = root' k(landmarks, w)
     to_z = space.T @ root.astype(np.float32)
-    del space
+    del space, marks
     images: dict[str, np.ndarray] = {}
 
     def z(bare: list[str]) -> np.ndarray:
-        out = np.ones((len(bare), to_z.shape[1] + 1))
+        out = np.ones((len(bare), to_z.shape[1] + 1), np.float32)
         for k, w in enumerate(bare):
             if w not in images:
-                f = features(w)
-                images[w] = (np.array(list(f.values()), np.float32) @ to_z[list(f)]).astype(np.float32)
+                own = [(column[u], v) for u, v in features(w).items() if u in column]
+                images[w] = np.array([v for _, v in own], np.float32) @ to_z[[c for c, _ in own]]
             out[k, :-1] = images[w]
         return out
 
@@ -256,7 +263,7 @@ def fit(comments: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, roun
         # a window weighs as many comments of its class as it would decide wrongly
         weight = np.array([*(c / n1 for c in pos.values()), *((1 + miss[v]) / n0 for v in neg)])
         w = _machine(x, y, weight, cost=COST)
-        model.weight = to_z.astype(float) @ w[:-1]
+        model.weight[used] = to_z @ w[:-1]
         every = sorted({p for b in bags for p in b})
         margin = dict(zip(every, (model.margins(every) + w[-1]).tolist(), strict=True))
         strongest = positives(margin.__getitem__)
@@ -303,7 +310,12 @@ def train(feedback: DataFrame, labels: DataFrame, feedback_id: str = "feedback_i
     r = only(feedback, id=feedback_id, comment=comment).filter("comment is not null")
     rows = r.join(F.broadcast(picked), F.col("id") == F.col("known")).select("known", "comment", "toxic").toPandas()
     rows = rows.sort_values(["known", "comment"]).drop_duplicates("known")
-    return fit(rows.comment.tolist(), rows.toxic.to_numpy(int))
+    comments, toxic = rows.comment.tolist(), rows.toxic.to_numpy(int)
+    del rows
+    model = fit(comments, toxic)
+    del comments
+    give_back()  # the driver lives on
+    return model
 
 
 def score_comments(
