@@ -94,7 +94,8 @@ def _phrases(texts: list[bytes], report: np.ndarray, place: np.ndarray) -> tuple
     k = np.searchsorted(needed, report)
     lo, hi = np.maximum(0, LEFT - place), np.minimum(PHRASE, sizes[k] - place + LEFT)
     at = (begins[k] + place - LEFT)[:, None] + np.arange(PHRASE)
-    rows = data[np.clip(at, 0, len(data) - 1)]
+    rows = data[np.clip(at, 0, len(data) - 1, out=at)]
+    del at
     inside = (np.arange(PHRASE) >= lo[:, None]) & (np.arange(PHRASE) < hi[:, None])
     return np.where(inside, rows, 0).astype(np.uint8), lo, hi
 
@@ -103,8 +104,8 @@ def parse(ids: np.ndarray, texts: list[bytes], buckets: int) -> Parse:
     report, place, words, hashes = [], [], [], []
 
     def add(of: np.ndarray, at: np.ndarray) -> None:
-        for a in range(0, len(at), 1 << 16):
-            o, p = of[a : a + (1 << 16)], at[a : a + (1 << 16)]
+        for a in range(0, len(at), 1 << 14):
+            o, p = of[a : a + (1 << 14)], at[a : a + (1 << 14)]
             rows, lo, hi = _phrases(texts, o, p)
             padded = np.zeros((len(rows), -(-PHRASE // 8) * 8), np.uint8)
             padded[:, :PHRASE] = rows

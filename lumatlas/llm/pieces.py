@@ -143,33 +143,31 @@ class PieceEncoder:
         if new.any():
             self._learn(distinct[new], [raw[starts[k] : ends[k + 1]] for k in first[new].tolist()])
             at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        if not len(self.keys):
-            return self._around(raw, starts, ends, np.zeros(len(starts), bool), np.zeros(len(starts), np.int64))
-        at = at[back]
-        same = self.size[at] == sizes
-        # the bytes the memory holds, against those of the text
-        n = np.where(same, sizes, 0)
-        stops = np.cumsum(n, dtype=np.int64)
-        step = np.arange(stops[-1])
-        own = np.repeat(starts - stops + n, n) + step
-        held = np.repeat(self.spelled[at] - stops + n, n) + step
-        wrong = np.repeat(np.arange(len(starts)), n)[self.letters[held] != data[own]]
-        same[wrong] = False
-        if not same.all():
-            return self._around(raw, starts, ends, same, at)
-        count = self.count[at]
+        if len(self.keys):
+            at = at[back]
+            same = self.size[at] == sizes
+            # the bytes the memory holds, against those of the text
+            n = np.where(same, sizes, 0)
+            stops = np.cumsum(n, dtype=np.int64)
+            step = np.arange(stops[-1])
+            own = np.repeat(starts - stops + n, n) + step
+            held = np.repeat(self.spelled[at] - stops + n, n) + step
+            same[np.repeat(np.arange(len(starts)), n)[self.letters[held] != data[own]]] = False
+            start, count, pool = self.start[at], self.count[at], self.pool
+        else:
+            same, start, count, pool = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int32), self.pool
+        if not same.all():  # what the memory doesn't hold is encoded by the library, each different piece once
+            others = np.flatnonzero(~same)
+            pieces = [raw[starts[k] : ends[k + 1]] for k in others.tolist()]
+            number = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+            ids = self._by_library(list(number))
+            n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+            which = np.fromiter((number[p] for p in pieces), np.int64, len(pieces))
+            start[others], count[others] = (len(pool) + np.cumsum(n_ids) - n_ids)[which], n_ids[which]
+            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(ids), self.dtype, int(n_ids.sum()))])
         stops = np.cumsum(count, dtype=np.int64)
-        place = np.repeat(self.start[at] - stops + count, count) + np.arange(stops[-1])
-        return self.pool[place], count
-
-    def _around(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, same: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same where the memory doesn't hold some pieces: those are encoded by the library, each different one once."""
-        others = [raw[starts[k] : ends[k + 1]] for k in np.flatnonzero(~same).tolist()]
-        distinct = list(dict.fromkeys(others))
-        known = {p: np.array(i, self.dtype) for p, i in zip(distinct, self._by_library(distinct), strict=True)}
-        rest = iter(others)
-        parts = [self.pool[self.start[k] : self.start[k] + self.count[k]] if ok else known[next(rest)] for ok, k in zip(same.tolist(), at.tolist(), strict=True)]
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        place = np.repeat(start - stops + count, count) + np.arange(stops[-1])
+        return pool[place], count
 
     def encode_bytes(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 texts one after another -> all ids, and how many each text has."""
