@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_km, spherical_mean
+from ..functions.geo import EARTH_RADIUS_KM, haversine_km, spherical_mean
 from ..session import checkpoint_dir
 from .places import nearest_town
 from .spatial import nearest, nearest_index, tile_i, tile_j
@@ -14,45 +17,103 @@ from .stats import percentiles
 TARGET = 400
 ITERATIONS = 25
 ARRAY_LIMIT = 256
+#: Rounds of seeding, candidates that a round draws for each centre wanted, and candidates that are thinned out together.
+SEED_ROUNDS, OVERSAMPLE, SEED_BLOCK = 5, 2, 2048
 
 
 def _assign(points: DataFrame, centres: DataFrame, keys: list[str], wide: bool, tile_deg: float = 0.25) -> DataFrame:
-    """Nearest centre of the point's own group. Few centres per group: compared inside the row. Many: tile index."""
+    """Adds the nearest centre of the point's own group (``cluster``) and its distance (``_d``, km).
+
+    Few centres per group: compared inside the row. Many: tile index.
+    """
     if not wide:
         arr = centres.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "c_lat", "c_lon")).alias("cs"))
         j = points.join(arr, keys)
         best = F.array_min(
             F.transform("cs", lambda c: F.struct(F.round(haversine_km("lat", "lon", c["c_lat"], c["c_lon"]), 9).alias("d"), c["cluster"].alias("k")))
         )
-        return j.withColumn("cluster", best["k"]).drop("cs")
+        return j.withColumn("_best", best).withColumns({"cluster": F.col("_best.k"), "_d": F.col("_best.d")}).drop("cs", "_best")
     used = points.select(*keys, tile_i("lat", tile_deg).alias("ti"), tile_j("lon", tile_deg).alias("tj")).distinct()
     sites = centres.withColumnsRenamed({"c_lat": "lat", "c_lon": "lon"})
     ix = nearest_index(sites, "cluster", tile_deg=tile_deg, keys=keys, occupied=used)
-    return nearest(points, ix, tile_deg=tile_deg, id_name="cluster", distance_name="_d", broadcast=False, keys=keys).drop("_d")
+    return nearest(points, ix, tile_deg=tile_deg, id_name="cluster", distance_name="_d", broadcast=False, keys=keys)
+
+
+def _thin_out(candidates: pd.DataFrame) -> pd.DataFrame:
+    """Weighted k-means++ on one block of candidates: ``quota`` of them, far apart and where many points are."""
+    c = candidates.sort_values("cluster")
+    la, lo = np.radians(c["c_lat"].to_numpy()), np.radians(c["c_lon"].to_numpy())
+    x = np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], 1)
+    weight = c["weight"].to_numpy(float)
+    rng = np.random.default_rng(len(c))
+    chosen, gap = [int(np.argmax(weight))], np.full(len(c), np.inf)
+    while len(chosen) < int(c["quota"].iloc[0]):
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
+        mass = np.cumsum(weight * gap)
+        if mass[-1] <= 0:
+            break  # all others lie where a chosen one does
+        chosen.append(int(np.searchsorted(mass, rng.random() * mass[-1], side="right")))
+    return c.iloc[sorted(chosen)]
+
+
+def seed_centres(points: DataFrame, sizes: DataFrame, keys: list[str], array_limit: int = ARRAY_LIMIT, point_id: str = "point_id") -> DataFrame:
+    """k-means|| in every group at once: (keys, cluster, c_lat, c_lon), ``k`` centres for each group of ``sizes(keys, k)``.
+
+    From one point a group, each round draws every point with a chance of ``OVERSAMPLE * k`` times its share of the group's
+    squared distances to the candidates so far (by a hash of its id, so a rerun draws the same). The candidates, weighted with the
+    points nearest to them, are thinned out by k-means++: a group's in one block while they are few, else tile by tile,
+    each block of at most ``SEED_BLOCK`` or so with its share of the centres. Only candidates are written to the checkpoint folder.
+    """
+    grown = points.join(sizes, keys)
+    first = grown.groupBy(*keys).agg(F.min(F.struct(F.xxhash64(point_id).alias("h"), point_id, "lat", "lon")).alias("s"))
+    candidates = first.select(*keys, F.col(f"s.{point_id}").alias("cluster"), F.col("s.lat").alias("c_lat"), F.col("s.lon").alias("c_lon")).checkpoint()
+    most = sizes.agg(F.max("k")).first()[0] or 1
+    wide = most * OVERSAMPLE * SEED_ROUNDS > array_limit
+    chord = F.sin(F.col("_d") / (2 * EARTH_RADIUS_KM))
+    for turn in range(SEED_ROUNDS):
+        away = _assign(grown, candidates, keys, wide).withColumn("cost", chord * chord)
+        total = away.groupBy(*keys).agg(F.sum("cost").alias("total"))
+        draw = F.pmod(F.xxhash64(F.lit(turn), point_id), F.lit(1 << 53)) / float(1 << 53)
+        drawn = away.join(total, keys).filter((F.col("total") > 0) & (draw < F.lit(OVERSAMPLE) * F.col("k") * F.col("cost") / F.col("total")))
+        drawn = drawn.select(*keys, F.col(point_id).alias("cluster"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+        candidates = candidates.unionByName(drawn).distinct().checkpoint()
+    weights = _assign(grown, candidates, keys, wide).groupBy(*keys, "cluster").agg(F.count("*").alias("weight"))
+    c = candidates.join(weights, [*keys, "cluster"]).join(sizes, keys).join(candidates.groupBy(*keys).agg(F.count("*").alias("of_group")), keys)
+    tile = F.when(F.col("of_group") > SEED_BLOCK, F.struct(tile_i("c_lat", 0.25).alias("i"), tile_j("c_lon", 0.25).alias("j"))).otherwise(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    c = c.withColumn("tile", tile)
+    in_tile = c.groupBy(*keys, "tile").agg(F.ceil(F.count("*") / SEED_BLOCK).alias("parts"))
+    c = c.join(in_tile, [*keys, "tile"]).withColumn("block", F.struct("tile", F.pmod(F.xxhash64("cluster"), F.col("parts")).alias("part"))).checkpoint()
+    # a block's share of the centres by its share of the points, rounded so that they add up
+    share = c.groupBy(*keys, "block").agg(F.sum("weight").alias("w"), F.first("k").alias("k"))
+    by = W.partitionBy(*keys)
+    to = F.round(F.sum("w").over(by.orderBy("block")) / F.sum("w").over(by) * F.col("k"))
+    before = F.round((F.sum("w").over(by.orderBy("block")) - F.col("w")) / F.sum("w").over(by) * F.col("k"))
+    share = share.select(*keys, "block", (to - before).cast("long").alias("quota")).filter("quota > 0")
+    c = c.join(share, [*keys, "block"]).select(*keys, "block", "cluster", "c_lat", "c_lon", "weight", "quota")
+    return c.groupBy(*keys, "block").applyInPandas(_thin_out, c.schema).select(*keys, "cluster", "c_lat", "c_lon")
 
 
 def kmeans_sphere(
     points: DataFrame, keys: list[str], target: int = TARGET, iters: int = ITERATIONS, array_limit: int = ARRAY_LIMIT, point_id: str = "point_id"
 ) -> DataFrame:
-    """Spherical k-means in every group at once, k = ceil(n / target): points with ``cluster``.
+    """Spherical k-means in every group at once, k = ceil(n / target): points with ``cluster``, the id of the point it was seeded from.
 
-    Seeds are one point per hash bucket, so no group is sorted as a whole. Each round is one assignment join and one
-    grouped mean; only the centres are written to the checkpoint folder. Rounds stop when no centre moves.
+    Seeds by :func:`seed_centres`. Each round is one assignment join and one grouped mean; only the centres are written to the
+    checkpoint folder. Rounds stop when no centre moves. A group of up to ``target`` points is one cluster, 0, without any round.
     """
     spark = points.sparkSession
     checkpoint_dir(spark)
     sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(target)).cast("long").alias("k")).checkpoint()
-    wide = (sizes.agg(F.max("k")).first()[0] or 1) > array_limit
-    hashed = points.join(sizes, keys).withColumn("_h", F.xxhash64(point_id))
-    centres = (
-        hashed.groupBy(*keys, F.pmod("_h", "k").alias("cluster"))
-        .agg(F.min(F.struct("_h", "lat", "lon")).alias("s"))
-        .select(*keys, "cluster", F.col("s.lat").alias("c_lat"), F.col("s.lon").alias("c_lon"))
-        .checkpoint()
-    )
+    many = sizes.filter("k > 1")
+    whole = points.join(sizes.filter("k = 1").select(*keys), keys, "left_semi").withColumn("cluster", F.lit(0).cast("long"))
+    if many.isEmpty():
+        return whole
+    wide = many.agg(F.max("k")).first()[0] > array_limit
+    split = points.join(many.select(*keys), keys, "left_semi")
+    centres = seed_centres(split, many, keys, array_limit, point_id).checkpoint()
     lat, lon = spherical_mean("lat", "lon")
     for _ in range(iters):
-        moved = _assign(points, centres, keys, wide).groupBy(*keys, "cluster").agg(lat.alias("n_lat"), lon.alias("n_lon"))
+        moved = _assign(split, centres, keys, wide).groupBy(*keys, "cluster").agg(lat.alias("n_lat"), lon.alias("n_lon"))
         # an empty cluster keeps its centre
         new = centres.join(moved, [*keys, "cluster"], "left").select(
             *keys, "cluster", F.coalesce("n_lat", "c_lat").alias("c_lat"), F.coalesce("n_lon", "c_lon").alias("c_lon"),
@@ -62,16 +123,16 @@ def kmeans_sphere(
         centres = new.drop("step_km")
         if shift < 1e-6:
             break
-    return _assign(points, centres, keys, wide)
+    return whole.unionByName(_assign(split, centres, keys, wide).drop("_d").select(*whole.columns))
 
 
 def build_cells(coords: DataFrame, places: DataFrame, target: int = TARGET, iters: int = ITERATIONS) -> DataFrame:
     """Coordinates (point_id, lat, lon) → leaf cells: iso2, admin1, cluster, lat, lon, scale_km, count, name, log_prior."""
+    checkpoint_dir(coords.sparkSession)
     town = nearest_town(coords, places).join(places.select("place_id", "iso2", "admin1"), "place_id")
     pts = town.select("point_id", "lat", "lon", "iso2", "admin1")
     keys = ["iso2", "admin1"]
-    biggest = pts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    labelled = kmeans_sphere(pts, keys, target, iters) if biggest > target else pts.withColumn("cluster", F.lit(0).cast("long"))
+    labelled = kmeans_sphere(pts.checkpoint(), keys, target, iters)
     ck = [*keys, "cluster"]
     lat, lon = spherical_mean("lat", "lon")
     centre = labelled.groupBy(*ck).agg(lat.alias("c_lat"), lon.alias("c_lon"), F.count("*").alias("count"))

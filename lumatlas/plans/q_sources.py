@@ -241,33 +241,46 @@ TOWN = f"""nt as (select * from (select photo_id, photos.lat, photos.lon, p.iso2
    degrees(atan2(sum(cos(radians(lat))*sin(radians(lon))), sum(cos(radians(lat))*cos(radians(lon))))) as clon from nt group by 1,2),
  sc as (select iso2, admin1, greatest(quantile_cont({hav('clat','clon','lat','lon')},0.68),1.0) as scale from nt join ce using (iso2, admin1) group by 1,2),
  nm as (select * from (select ce.iso2, ce.admin1, p.name, row_number() over (partition by ce.iso2, ce.admin1 order by round({hav('clat','clon','p.lat','p.lon')},9), place_id) as rn from ce, places p) where rn=1)"""
-CELLS_SQL = f"with {TOWN} select iso2, admin1, name, n as count, round(clat,5)+0.0 as lat, round(clon,5)+0.0 as lon, round(scale,4)+0.0 as scale_km, round(ln(n/sum(n) over ()),6)+0.0 as log_prior from ce join sc using (iso2, admin1) join nm using (iso2, admin1)"
+# groups of one cell in full; of those that are split, what every split must keep
+CELLS_SQL = f"""with {TOWN}, t as (select sum(n) as t from ce)
+    select iso2, admin1, cast(ceil(n/400.0) as bigint) as cells, n as photos, round(n/t,6)+0.0 as prior, case when n<=400 then name end as name,
+      case when n<=400 then round(clat,5)+0.0 end as lat, case when n<=400 then round(clon,5)+0.0 end as lon, case when n<=400 then round(scale,4)+0.0 end as scale_km
+    from ce join sc using (iso2, admin1) join nm using (iso2, admin1) cross join t"""
 
 
 def built(v):
-    return B.build_cells(v.photos.select(F.col("photo_id").alias("point_id"), "lat", "lon"), v.places, target=5000)
+    return B.build_cells(v.photos.select(F.col("photo_id").alias("point_id"), "lat", "lon"), v.places)
 
 
-def _cells_out(c):
-    return c.select("iso2", "admin1", "name", "count", r6(F.col("lat"), 5).alias("lat"), r6(F.col("lon"), 5).alias("lon"), r6(F.col("scale_km"), 4).alias("scale_km"), r6(F.col("log_prior")).alias("log_prior"))
+def by_group(cells):
+    """Cells of each region counted, its photos and prior summed; the cell itself where there is one."""
+    one = F.count("*") == 1
+
+    def only(c):
+        return F.when(one, F.first(c))
+
+    return cells.groupBy("iso2", "admin1").agg(
+        F.count("*").alias("cells"), F.sum("count").alias("photos"), r6(F.sum(F.exp("log_prior"))).alias("prior"), only("name").alias("name"),
+        r6(only("lat"), 5).alias("lat"), r6(only("lon"), 5).alias("lon"), r6(only("scale_km"), 4).alias("scale_km"),
+    )
 
 
 @query("agg_cells_build", "places photos", CELLS_SQL)
 def _(v):
-    return _cells_out(built(v))
+    return by_group(built(v))
 
 
 @query("snk_cells", "places photos", CELLS_SQL)
 def _(v):
     path = scratch(v.spark, "cells")
     sinks.write_cells(built(v), path)
-    return _cells_out(v.spark.read.parquet(path))
+    return by_group(v.spark.read.parquet(path))
 
 
 @query("agg_kmeans_sphere")
 def _(v):
     p = v.photos.select(F.col("photo_id").alias("point_id"), "album_id", "lat", "lon")
-    return B.kmeans_sphere(p, ["album_id"], target=30, iters=6).select("point_id", "album_id", "cluster")
+    return B.kmeans_sphere(p, ["album_id"], target=30).select("point_id", "album_id", "cluster")
 
 
 @query(
