@@ -106,6 +106,26 @@ def inside_box(lat, lon, south, west, north, east) -> Column:
     return col(lat).between(col(south), col(north)) & col(lon).between(col(west), col(east))
 
 
+def hilbert(lat, lon, order: int = 20) -> Column:
+    """Place of a coordinate along a Hilbert curve over the world, ``order`` bits a side: near values are near on the map."""
+    side = 1 << order
+
+    def cell(v, low: float, span: float) -> Column:
+        return F.least(F.lit(side - 1), F.greatest(F.lit(0), F.floor((col(v) - low) / span * side))).cast("bigint")
+
+    def step(acc: Column, s: Column) -> Column:
+        x, y = acc["x"], acc["y"]
+        right, upper = x.bitwiseAND(s) > 0, y.bitwiseAND(s) > 0
+        quarter = F.when(right & upper, 2).when(right, 3).when(upper, 1).otherwise(0)
+        # the lower quarters hold the curve turned: mirrored where it comes from the right, then with its axes swapped
+        a, b = F.when(right, side - 1 - x).otherwise(x), F.when(right, side - 1 - y).otherwise(y)
+        return F.struct(F.when(upper, x).otherwise(b).alias("x"), F.when(upper, y).otherwise(a).alias("y"), (acc["d"] + s * s * quarter).alias("d"))
+
+    start = F.struct(cell(lon, -180.0, 360.0).alias("x"), cell(lat, -90.0, 180.0).alias("y"), F.lit(0).cast("bigint").alias("d"))
+    sides = F.array(*[F.lit(1 << k).cast("bigint") for k in range(order - 1, -1, -1)])
+    return F.aggregate(sides, start, step, lambda acc: acc["d"])
+
+
 def valid_fix(lat, lon) -> Column:
     """In range and not the (0, 0) a camera writes without a fix. Null coordinates are not valid."""
     la, lo = col(lat), col(lon)

@@ -52,13 +52,16 @@ RINGS = f"""{LEADS}, st as (select *, 1.0/111.32 as dlat, 1.0/(111.32*greatest(0
    on i.lat between lead_lat-(n+0.5)*dlat and lead_lat+(n+0.5)*dlat and i.lon between lead_lon-(n+0.5)*dlon and lead_lon+(n+0.5)*dlon)"""
 
 
-def rings(v):
+def leads(v):
     k = F.col("place_id")
-    leads = v.places.select(
+    return v.places.select(
         k.alias("lead_id"), (F.lit(48.84) + (k * 41 % 200) * 0.0001).alias("lead_lat"), (F.lit(2.33) + (k * 59 % 240) * 0.0001).alias("lead_lon"),
         F.when(k % 2 == 0, 9.0).otherwise(25.0).alias("km2"),
     )
-    return S.images_in_rings(leads, v.street_images.select("image_id", "lat", "lon"))
+
+
+def rings(v):
+    return S.images_in_rings(leads(v), v.street_images.select("image_id", "lat", "lon"))
 
 
 @query("join_ring_cells", "places street_images", f"with {RINGS} select lead_id, cast(ring as integer) as ring, count(*) as images from rg group by 1,2")
@@ -79,11 +82,13 @@ FLAT = "sqrt(pow(({2}-{0})*111320,2)+pow(({3}-{1})*111320*cos(radians({0})),2))"
     select lead_id, cast(upto as integer) as ring, searched, image_id as best_image_id from ok where r2=1""",
 )
 def _(v):
-    m = rings(v).select(
-        "lead_id", "ring", "image_id", "lat", "lon", F.when((F.col("image_id") * 7 + F.col("lead_id") * 13) % 1009 == 0, 55).otherwise((F.col("image_id") * 7 + F.col("lead_id") * 13) % 20).alias("inliers"),
-        (((F.col("image_id") * 31) % 100).cast("double") / 100).alias("similarity"),
-    )
-    return S.first_verified_ring(m)
+    spot = F.col("image_id") * 7 + F.col("lead_id") * 13
+
+    def match(photos):
+        inliers = F.when(spot % 1009 == 0, 55).otherwise(spot % 20)
+        return photos.withColumn("inliers", inliers).withColumn("similarity", ((F.col("image_id") * 31) % 100).cast("double") / 100)
+
+    return S.search_outwards(leads(v), v.street_images.select("image_id", "lat", "lon"), match)[0]
 
 
 NEARBY = f"""nj as (select poi_id, image_id, i.heading, round({hav('p.lat','p.lon','i.lat','i.lon')}*1000,1) as d, case when image_id%5=0 then null else concat('20', cast(10+image_id%15 as varchar(2)), '-01-01') end as cap
