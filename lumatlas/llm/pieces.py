@@ -107,7 +107,9 @@ class PieceEncoder:
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         rel = np.arange(len(data)) - np.repeat(starts, sizes)
-        h = np.add.reduceat(self.letter[data] * self.place[np.minimum(rel, self.SHORT - 1)], starts)
+        if sizes.max() > self.SHORT:  # longer pieces aren't looked up
+            np.minimum(rel, self.SHORT - 1, out=rel)
+        h = np.add.reduceat(self.letter[data] * self.place[rel], starts)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))
@@ -147,12 +149,12 @@ class PieceEncoder:
             at = at[back]
             same = self.size[at] == sizes
             # the bytes the memory holds, against those of the text
-            n = np.where(same, sizes, 0)
-            stops = np.cumsum(n, dtype=np.int64)
-            step = np.arange(stops[-1])
-            own = np.repeat(starts - stops + n, n) + step
-            held = np.repeat(self.spelled[at] - stops + n, n) + step
-            same[np.repeat(np.arange(len(starts)), n)[self.letters[held] != data[own]]] = False
+            held = np.repeat((np.where(same, self.spelled[at], 0) - starts).astype(np.int32), sizes) + np.arange(len(data), dtype=np.int32)
+            if not same.all():
+                np.minimum(held, len(self.letters) - 1, out=held)
+            differ = self.letters[held] != data
+            if differ.any():
+                same &= ~np.logical_or.reduceat(differ, starts)
             start, count, pool = self.start[at], self.count[at], self.pool
         else:
             same, start, count, pool = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int32), self.pool
