@@ -70,6 +70,28 @@ def splits_like_byte_level(path: str) -> bool:
     return bool(plain and spec.get("normalizer") is None and ordinary and not any(set(" \n.,!?;:") & set(t["content"]) for t in spec.get("added_tokens", [])))
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type) -> None:
+        self.room, self.n = np.zeros(1 << 10, dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            wider = np.empty(max(len(self.room) * 3 // 2, self.n + len(more)), self.room.dtype)
+            wider[: self.n] = self.room[: self.n]
+            self.room = wider
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def __len__(self) -> int:
+        return self.n
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class PieceEncoder:
     """The tokenizers library behind a memory of text pieces: each piece is encoded by the library once per memory fill.
 
@@ -100,10 +122,9 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool = np.zeros(0, self.dtype)
-        self.spelled, self.size, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted keys, and where each piece is described
+        self.start, self.count, self.pool = _Grown(np.int32), _Grown(np.int32), _Grown(self.dtype)  # its ids
+        self.spelled, self.size, self.letters = _Grown(np.int32), _Grown(np.int32), _Grown(np.uint8)  # its bytes
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         rel = np.arange(len(data)) - np.repeat(starts, sizes)
@@ -123,13 +144,13 @@ class PieceEncoder:
         count = np.fromiter(map(len, ids), np.int32, len(ids))
         size = np.fromiter(map(len, pieces), np.int32, len(pieces))
         flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(count.sum()))
-        start = len(self.pool) + np.cumsum(count, dtype=np.int64) - count
-        spelled = len(self.letters) + np.cumsum(size, dtype=np.int64) - size
         at = np.searchsorted(self.keys, keys)
-        old = (self.keys, self.start, self.count, self.spelled, self.size)
-        self.keys, self.start, self.count, self.spelled, self.size = (np.insert(a, at, b) for a, b in zip(old, (keys, start, count, spelled, size), strict=True))
-        self.pool = np.concatenate([self.pool, flat])
-        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.keys = np.insert(self.keys, at, keys)
+        self.slot = np.insert(self.slot, at, np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32))
+        self.start.add(len(self.pool) + np.cumsum(count, dtype=np.int64) - count)
+        self.spelled.add(len(self.letters) + np.cumsum(size, dtype=np.int64) - size)
+        for grown, more in ((self.count, count), (self.size, size), (self.pool, flat), (self.letters, np.frombuffer(b"".join(pieces), np.uint8))):
+            grown.add(more)
 
     def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of pieces, and how many each has."""
@@ -146,18 +167,19 @@ class PieceEncoder:
             self._learn(distinct[new], [raw[starts[k] : ends[k + 1]] for k in first[new].tolist()])
             at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
         if len(self.keys):
-            at = at[back]
-            same = self.size[at] == sizes
+            at = self.slot[at][back]
+            letters = self.letters.all
+            same = self.size.all[at] == sizes
             # the bytes the memory holds, against those of the text
-            held = np.repeat((np.where(same, self.spelled[at], 0) - starts).astype(np.int32), sizes) + np.arange(len(data), dtype=np.int32)
+            held = np.repeat((np.where(same, self.spelled.all[at], 0) - starts).astype(np.int32), sizes) + np.arange(len(data), dtype=np.int32)
             if not same.all():
-                np.minimum(held, len(self.letters) - 1, out=held)
-            differ = self.letters[held] != data
+                np.minimum(held, len(letters) - 1, out=held)
+            differ = letters[held] != data
             if differ.any():
                 same &= ~np.logical_or.reduceat(differ, starts)
-            start, count, pool = self.start[at], self.count[at], self.pool
+            start, count, pool = self.start.all[at].astype(np.int64), self.count.all[at], self.pool.all
         else:
-            same, start, count, pool = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int32), self.pool
+            same, start, count, pool = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int32), self.pool.all
         if not same.all():  # what the memory doesn't hold is encoded by the library, each different piece once
             others = np.flatnonzero(~same)
             pieces = [raw[starts[k] : ends[k + 1]] for k in others.tolist()]
