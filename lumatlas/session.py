@@ -41,10 +41,12 @@ def ensure_runtime(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch folder only where none is set (tests, local runs)."""
+    """The shared folder named by the cluster; a scratch folder only where none is set and the master is local (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="lumatlas-ckpt-", dir="/tmp")
