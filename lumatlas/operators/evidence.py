@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import col, haversine_km
-from .spatial import reach_join
+from .spatial import maybe_broadcast, reach_join, small_enough
 
 NON_LOCATION = ("person", "face")
 REACH_SIGMAS = 9.0  # beyond nine spreads a bump is below one part in 1e15 of any rule's default
@@ -70,7 +70,7 @@ def expand_drives_on(rules: DataFrame, countries: DataFrame) -> DataFrame:
 def touched_leaves(rules: DataFrame, cells: DataFrame) -> DataFrame:
     """(rule, leaf) pairs where a rule can differ from its default: listed countries, regions in reach, lat bands."""
     by_country = rules.select("rule", F.explode(F.map_keys("countries")).alias("iso2")).join(
-        F.broadcast(cells.select("iso2", "leaf")), "iso2"
+        maybe_broadcast(cells.select("iso2", "leaf")), "iso2"
     )
     max_scale = cells.agg(F.max("scale_km")).scalar()
     regions = rules.select("rule", F.explode("regions").alias("g")).select("rule", "g.*", max_scale.alias("max_scale"))
@@ -127,8 +127,8 @@ def default_ratio(rules_other="other") -> Column:
 def rule_leaf(rules: DataFrame, cells: DataFrame) -> DataFrame:
     """(rule, leaf, ratio, default) for touched leaves only. Size: fixed rules × the leaves each singles out."""
     keep = ["rule", "countries", "regions", "lat_band", "other"]
-    t = touched_leaves(rules, cells).join(F.broadcast(rules.select(*keep, default_ratio().alias("default"))), "rule")
-    t = t.join(F.broadcast(cells.select("leaf", "iso2", "lat", "lon", "scale_km")), "leaf")
+    t = touched_leaves(rules, cells).join(maybe_broadcast(rules.select(*keep, default_ratio().alias("default")), 4096), "rule")
+    t = t.join(maybe_broadcast(cells.select("leaf", "iso2", "lat", "lon", "scale_km")), "leaf")
     ratio = (
         country_ratio("countries", "iso2", "other")
         * region_ratio("regions", "lat", "lon", "scale_km", "other")
@@ -144,12 +144,14 @@ RULE_SCHEMA = (
 )
 
 
-def sparse_evidence(obs: DataFrame, leafs: DataFrame, broadcast: bool = True) -> DataFrame:
+def sparse_evidence(obs: DataFrame, leafs: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """Observations (photo_id, rule, score, weight) → (photo_id, leaf, delta): log-likelihood minus the default's.
 
     Summed per photo and leaf. When ``obs`` is already partitioned by photo and the rule table is broadcast, nothing
-    is shuffled here.
+    is shuffled here. By default the rule table is broadcast if its counted size fits the bound.
     """
+    if broadcast is None:
+        broadcast = small_enough(leafs)
     j = obs.join(F.broadcast(leafs) if broadcast else leafs, "rule")
     d = F.col("weight") * (obs_loglik("score", "ratio") - obs_loglik("score", "default"))
     return j.groupBy("photo_id", "leaf").agg(F.sum(d).alias("delta"))
@@ -160,7 +162,7 @@ def sparse_evidence(obs: DataFrame, leafs: DataFrame, broadcast: bool = True) ->
 
 def observation_loglik(obs: DataFrame, leafs: DataFrame) -> DataFrame:
     """(photo_id, rule, leaf, loglik, default_loglik) on touched leaves."""
-    return obs.join(F.broadcast(leafs), "rule").select(
+    return obs.join(maybe_broadcast(leafs), "rule").select(
         "photo_id",
         "rule",
         "leaf",
@@ -194,7 +196,7 @@ def answer_evidence(candidates: DataFrame, cells: DataFrame) -> DataFrame:
     near = reach_join(cand.filter(has_xy).withColumn("max_scale", max_scale), sites, reach)
     sigma2 = F.col("radius_km") ** 2 + F.col("scale_km") ** 2
     near = near.filter(F.col("distance_km") <= F.lit(REACH_SIGMAS) * F.sqrt(sigma2))
-    home = cand.filter(has_cc).join(F.broadcast(sites), F.col("cc") == F.col("site_iso2"))
+    home = cand.filter(has_cc).join(maybe_broadcast(sites), F.col("cc") == F.col("site_iso2"))
     home = home.withColumn("distance_km", haversine_km("lat", "lon", "site_lat", "site_lon"))
     cols = ["photo_id", "rank", "leaf", "probability", "far", "cc", "site_iso2", "distance_km", "radius_km", "scale_km"]
     pairs = near.select(*cols).unionByName(
